@@ -236,7 +236,7 @@ def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     comp = save(comp.join(one, "rep"), "groups")
     cut = comp.groupBy("comp").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / block)).cast("int").alias("blocks"))
     comp = comp.join(cut, "comp").select(F.col("rep").alias("k"), "comp", "blocks", "copies")
-    full = docs.join(comp, "k").select("k", "text", "comp", "blocks", "copies").mapInArrow(_hashes(n), "k long, comp long, blocks int, copies long, grams binary")
+    full = docs.join(comp.hint("merge"), "k").select("k", "text", "comp", "blocks", "copies").mapInArrow(_hashes(n), "k long, comp long, blocks int, copies long, grams binary")
     own = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
     full = full.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     full = full.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "k", "grams", "copies", "own")
