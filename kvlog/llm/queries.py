@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlog.llm.common import table
+from kvlog.llm.common import save, table
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +23,14 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from kvlog.llm.fingerprints import edited_fingerprints
+    from kvlog.llm.fingerprints import edited_fingerprints, groups
 
-    return edited_fingerprints(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    same = groups(docs).groupBy("doc_id", "fingerprint").agg(F.min("group_id").alias("group_id"), F.max("n_copies").alias("n_copies"))
+    same = save(same, "copies").withColumnRenamed("doc_id", "id")
+    out = edited_fingerprints(docs)
+    out = out.join(same, out.doc_id.eqNullSafe(same.id) & (out.fingerprint == same.fingerprint))
+    return out.select(*[out[c] for c in out.columns], "group_id", "n_copies")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +41,30 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kvlog.llm.tokens import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kvlog.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kvlog.llm.nearest import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kvlog.llm.shards import read_shards, write_shards
+
+    return read_shards(write_shards(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json")))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kvlog.llm.substrings import remove_repeats
 
@@ -42,6 +77,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_ngram_jaccard,
         op2_fingerprints,
         op3_quality,
+        op6_bpe,
+        op7_packing,
+        op8_topk,
+        op9_token_shards,
         op10_substring_dedup,
     )
 }
