@@ -156,7 +156,7 @@ def _write(vocabulary: str, end: int, bits: int, most: int):
         def shard():
             starts = np.concatenate([[0], np.cumsum([len(b) // 4 for b in blobs])])
             body = pack(np.array(keys, np.int64), starts, np.frombuffer(b"".join(blobs), "<u4"), bits)
-            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([seq]), pa.array([int(starts[-1])]), pa.array([body], pa.large_binary())], ["part", "seq", "tokens", "file"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([int(starts[-1])]), pa.array([body], pa.binary())], ["part", "seq", "tokens", "file"])
 
         for batch in batches:
             for b in slices(batch):
