@@ -8,15 +8,23 @@ boundary is deleted, and only the ranks of the two neighbours are looked up agai
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 
+import numpy as np
 import regex
 
+from kvlog.llm.text import _SEP, hashes, strings
+
+# The library's own threads would only compete with Spark's tasks.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 #: Ranks above all merges.
 _NONE = 1 << 60
-#: Words that a worker remembers before it forgets all of them.
-CACHE = 400_000
+#: Words that a worker remembers before it forgets all of them: for the library's ids,
+#: and with the texts that the own encoder returns.
+CACHE, TEXTS = 1_200_000, 400_000
 
 # The contractions and classes of the public word-splitting patterns.
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -85,7 +93,7 @@ class Encoder:
         for word in split_space(text):
             hit = known.get(word)
             if hit is None:
-                if len(known) >= CACHE:
+                if len(known) >= TEXTS:
                     known.clear()
                 hit = known[word] = self.piece(word)
             out.append(hit)
@@ -120,12 +128,14 @@ def split_space(text: str) -> list[str]:
 
 
 class Library:
-    """Ids by the tokenizers library, a word at a time and remembered.
-
-    Words are stretches of text that the library's own splitting never joins: between
-    white space for the vocabulary with word ends, before single spaces for the
-    byte-level one. Texts in which that does not hold, or that spell out a special
-    token, go to the library whole.
+    """Ids by the tokenizers library for many texts at once, each word encoded once.
+
+    Words are stretches that the library's own splitting never joins: between white
+    space for the vocabulary with word ends, from one space to the next for the
+    byte-level one. A text in which that does not hold, or that spells out a special
+    token, is one word. Words are known by 64-bit hashes of their bytes; a worker
+    remembers a bounded number of them. New plain words go to the library many in one
+    text; the ids show where each ends (a word end) or begins (a leading space).
     """
 
     def __init__(self, path: str):
@@ -136,47 +146,138 @@ class Library:
         self.tok.no_truncation()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        self.spaced = not spec["model"].get("end_of_word_suffix")
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def parts(self, text: str) -> list[str] | None:
-        if "<" in text and any(s in text for s in self.special):
-            return None
-        if not self.spaced:
-            return split_space(text)
-        # A white-space run is split by itself only where a single space ends it.
-        if "  " in text or " \n" in text or " \t" in text or " \r" in text or " \x0b" in text or " \x0c" in text or _ODD.search(text):
-            if _RUN.search(text):
-                return None
-        first, *rest = text.split(" ")
-        out = [" " + x for x in rest]
-        return [first, *out] if first else out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        import numpy as np
+        model = spec["model"]
+        self.special = [t["content"].encode() for t in spec["added_tokens"]]
+        suffix = model.get("end_of_word_suffix")
+        self.spaced = not suffix
+        self.edge = np.zeros(max(model["vocab"].values()) + 1 + len(self.special), bool)
+        lead = byte_alphabet()[0x20]
+        self.edge[[i for t, i in model["vocab"].items() if (t.startswith(lead) if self.spaced else t.endswith(suffix))]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.slots: dict[int, int] = {}
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.begin, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _add(self, hashes: list[int], blobs: list[bytes]) -> None:
+        ids = np.frombuffer(b"".join(blobs), "<u4")
+        n, many = len(self.slots), len(blobs)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while n + many > len(self.begin):
+            self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
+        length = np.fromiter(map(len, blobs), np.int64, many) >> 2
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.length[n : n + many] = length
+        self.begin[n : n + many] = self.used + np.cumsum(length) - length
+        self.used += len(ids)
+        self.slots.update(zip(hashes, range(n, n + many)))
+
+    def _many(self, words: list[str]) -> list[bytes]:
+        """Ids of words that stay apart for the library when put side by side."""
+        out: list[bytes] = []
+        sep = "" if self.spaced else " "
+        texts = [sep.join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+        for e in self.tok.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(self.edge[ids])
+            cuts = [*(4 * at).tolist(), 4 * len(ids)] if self.spaced else [0, *(4 * (at + 1)).tolist()]
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        if len(out) != len(words):
+            raise AssertionError("words were not split as expected")
+        return out
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        # A word and the marks after it are encoded apart, in either vocabulary.
+        match = (_SPACED if self.spaced else _BARE).fullmatch
+        found = list(map(match, words))
+        stems = list({m[1] for m in found if m})
+        ids = dict(zip(stems, self._many(stems)))
+        rest = list({m[2] for m in found if m}.union([w for w, m in zip(words, found) if not m]))
+        for w, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False)):
+            ids[w] = np.array(e.ids, "<u4").tobytes()
+        return [ids[m[1]] + ids[m[2]] if m else ids[w] for w, m in zip(words, found)]
+
+    def _cut(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of each word; no word spans texts."""
+        n = len(data)
+        own = np.zeros(n + 1, bool)
+        own[off] = True
+        raw, odd = data.tobytes(), []
+        for s in self.special:
+            at = raw.find(s)
+            while at >= 0:
+                odd.append(at)
+                at = raw.find(s, at + 1)
+        if self.spaced:
+            space = data == 32
+            white = _white(data)
+            begin = own[:-1] | space
+            # A run of white space is cut as the library does only if a space ends or begins it.
+            bad = np.flatnonzero(space[1:-1] & white[:-2] & white[2:]) + 1 if n > 2 else np.zeros(0, np.int64)
+            odd += bad[~own[bad] & ~own[bad + 1]].tolist()
+        else:
+            white = _SEP[data]
+            before = own[:-1].copy()
+            before[1:] |= white[:-1]
+            begin = ~white & before
+            after = own[1:].copy()
+            after[:-1] |= white[1:]
+            last = ~white & after
+        whole = np.unique(np.searchsorted(off, odd, "right") - 1) if odd else []
+        for i in whole:
+            begin[off[i] : off[i + 1]] = False
+            begin[off[i]] = True
+            if not self.spaced:
+                last[off[i] : off[i + 1]] = False
+                last[off[i + 1] - 1] = True
+        start = np.flatnonzero(begin)
+        return start, (np.append(start[1:], n) if self.spaced else np.flatnonzero(last) + 1)
+
+    def encode(self, col) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and where each text's ids begin."""
+        data, off = strings(col)
+        start, end = self._cut(data, off)
+        known, first, at = np.unique(hashes(data, start, end), return_index=True, return_inverse=True)
+        keys = known.tolist()
+        if len(self.slots) > CACHE:
+            self.forget()
+        slot = list(map(self.slots.get, keys))
+        new = [i for i, s in enumerate(slot) if s is None]
+        if new:
+            raw = data.tobytes()
+            lo, hi = start[first[new]].tolist(), end[first[new]].tolist()
+            self._add([keys[i] for i in new], self._learn([raw[a:b].decode() for a, b in zip(lo, hi)]))
+            slot = list(map(self.slots.get, keys))
+        slots = np.array(slot, np.int64)[at] if len(keys) else np.zeros(0, np.int64)
+        length = self.length[slots]
+        ends = np.cumsum(length)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.pool[np.repeat(self.begin[slots] - (ends - length), length) + np.arange(total)]
+        return ids, np.concatenate([[0], ends])[np.searchsorted(start, off)]
+
+
+#: Words of letters that lower case and normalisation keep whole, and marks after them.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_SPACED = re.compile(f"( [{_LETTERS}]+)([.,!?;:()*#$%&]*)")
+_BARE = re.compile(f"([{_LETTERS}]+)([.,!?;:()*#$%&]*)")
+_WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80\xa8", b"\xe2\x80\xa9", b"\xe2\x80\xaf", b"\xe2\x81\x9f", b"\xe3\x80\x80", *(bytes([0xE2, 0x80, i]) for i in range(0x80, 0x8B)))
+
+
+def _white(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to white-space characters."""
+    out = _SEP[data]
+    for seq in _WIDE:
+        if len(data) >= len(seq):
+            at = np.flatnonzero(data[: len(data) - len(seq) + 1] == seq[0])
+            for j in range(1, len(seq)):
+                at = at[data[at + j] == seq[j]]
+            for j in range(len(seq)):
+                out[at + j] = True
+    return out
 
-        known = self.known
-        split = [self.parts(t) for t in texts]
-        new = list({w for parts in split if parts for w in parts if w not in known})
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list({w for parts in split if parts for w in parts})
-        for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
-            for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [self.whole(t) if p is None else b"".join([known[w] for w in p]) for t, p in zip(texts, split)]
-
-
-_ODD = re.compile(r" [\x85\xa0  -     　]")
-_RUN = re.compile(f"[{_SPACE}] [{_SPACE}]")
 
 _made: dict[tuple[type, str], object] = {}
 

@@ -214,18 +214,20 @@ def pieces(docs: DataFrame, vocabulary: str, end: int = 1, capacity: int = CAPAC
     """``(k, piece, start, length, ids_crc32)``: the ids of each text and ``end``, cut
     every ``capacity`` ids."""
     ship(docs.sparkSession)
-    tail, step = int(end).to_bytes(4, "little"), 4 * capacity
+    step = 4 * capacity
 
     def run(batches):
         tok = made(Library, vocabulary)
         for batch in batches:
             for b in slices(batch):
                 rows = []
-                for k, ids in zip(b.column(0).to_pylist(), tok.encode(b.column(1).to_pylist())):
-                    ids += tail
-                    for i, at in enumerate(range(0, len(ids), step)):
-                        part = ids[at : at + step]
-                        rows.append((k, i, at // 4, len(part) // 4, zlib.crc32(part)))
+                ids, at = tok.encode(b.column(1))
+                raw = np.insert(ids, at[1:], end).astype("<u4").tobytes()
+                at = 4 * (at + np.arange(len(at)))
+                for k, lo, hi in zip(b.column(0).to_pylist(), at.tolist(), at[1:].tolist()):
+                    for i, x in enumerate(range(lo, hi, step)):
+                        y = min(x + step, hi)
+                        rows.append((k, i, (x - lo) // 4, (y - x) // 4, zlib.crc32(raw[x:y])))
                 cols = list(zip(*rows))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["k", "piece", "start", "length", "ids_crc32"])

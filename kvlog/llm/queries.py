@@ -27,10 +27,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     same = groups(docs).groupBy("doc_id", "fingerprint").agg(F.min("group_id").alias("group_id"), F.max("n_copies").alias("n_copies"))
-    same = save(same, "copies").withColumnRenamed("doc_id", "id")
+    same = save(same, "copies").select(F.col("doc_id").alias("id"), F.col("fingerprint").alias("of"), "group_id", "n_copies")
     out = edited_fingerprints(docs)
-    out = out.join(same, out.doc_id.eqNullSafe(same.id) & (out.fingerprint == same.fingerprint))
-    return out.select(*[out[c] for c in out.columns], "group_id", "n_copies")
+    out = out.join(same, out.doc_id.eqNullSafe(same.id) & (out.fingerprint == same.of))
+    return out.drop("id", "of")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

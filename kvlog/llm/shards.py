@@ -26,7 +26,7 @@ from kvlog.llm.bpe import Library, made
 from kvlog.llm.common import doc_id, keyed, save, ship
 from kvlog.llm.text import slices
 
-#: A shard is closed when it has this many tokens (the document that crosses it stays whole).
+#: A shard is closed after the slice of texts that brings it to this many tokens.
 TOKENS = 1 << 20
 _MAGIC = b"KVW1"
 _STEP = 512
@@ -44,10 +44,11 @@ class Wavelet:
         planes, zeros = [], []
         x = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         for level in range(bits - 1, -1, -1):
-            one = (x >> level & 1).astype(bool)
+            one = (x & x.dtype.type(1 << level)) != 0
             planes.append(np.packbits(one, bitorder="little"))
-            x = np.concatenate([x[~one], x[one]])
-            zeros.append(len(x) - int(one.sum()))
+            first = np.flatnonzero(~one)
+            zeros.append(len(first))
+            x = np.concatenate([x.take(first), x.take(np.flatnonzero(one))])
         return cls(len(ids), planes, zeros)
 
     def _bit(self, p: int, i: int) -> int:
@@ -111,8 +112,8 @@ class Wavelet:
         for level, p in enumerate(range(len(self.planes) - 1, -1, -1)):
             one = np.unpackbits(self.planes[p], count=self.n, bitorder="little").view(bool)
             y = np.empty_like(x)
-            y[~one] = x[: self.zeros[p]]
-            y[one] = x[self.zeros[p] :] | x.dtype.type(1 << level)
+            y[np.flatnonzero(~one)] = x[: self.zeros[p]]
+            y[np.flatnonzero(one)] = x[self.zeros[p] :] | x.dtype.type(1 << level)
             x = y
         return x
 
@@ -148,26 +149,27 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, Wavelet]:
 def _write(vocabulary: str, end: int, bits: int, most: int):
     def run(batches):
         tok = made(Library, vocabulary)
-        keys: list[int] = []
-        blobs: list[bytes] = []
+        keys: list[np.ndarray] = []
+        blobs: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         part, seq, size = -1, 0, 0
-        tail = struct.pack("<I", end)
 
         def shard():
-            starts = np.concatenate([[0], np.cumsum([len(b) // 4 for b in blobs])])
-            body = pack(np.array(keys, np.int64), starts, np.frombuffer(b"".join(blobs), "<u4"), bits)
+            starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+            body = pack(np.concatenate(keys), starts, np.concatenate(blobs), bits)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([int(starts[-1])]), pa.array([body], pa.binary())], ["part", "seq", "tokens", "file"])
 
         for batch in batches:
             for b in slices(batch):
                 part = b.column(2)[0].as_py()
-                for k, ids in zip(b.column(0).to_pylist(), tok.encode(b.column(1).to_pylist())):
-                    keys.append(k)
-                    blobs.append(ids + tail)
-                    size += len(ids) // 4 + 1
-                    if size >= most:
-                        yield shard()
-                        keys, blobs, size, seq = [], [], 0, seq + 1
+                ids, at = tok.encode(b.column(1))
+                keys.append(b.column(0).to_numpy())
+                blobs.append(np.insert(ids, at[1:], end))
+                sizes.append(np.diff(at) + 1)
+                size += len(blobs[-1])
+                if size >= most:
+                    yield shard()
+                    keys, blobs, sizes, size, seq = [], [], [], 0, seq + 1
         if keys:
             yield shard()
 

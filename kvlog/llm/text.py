@@ -87,6 +87,16 @@ class Words:
         return np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
 
 
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of bytes."""
+    n = len(data)
+    one, inv = _tables(n)
+    sums = np.zeros(n + 1, U)
+    np.cumsum(_BYTES[data] * one[:n], out=sums[1:])
+    h = (sums[end] - sums[start]) * inv[start]
+    return mix(h ^ (end - start).astype(U))
+
+
 def words(col: pa.Array, lower: bool = False) -> Words:
     data, off = strings(col)
     if lower:
@@ -102,11 +112,7 @@ def words(col: pa.Array, lower: bool = False) -> Words:
     np.logical_not(sep, out=sep)
     start = np.flatnonzero(sep & before)
     end = np.flatnonzero(sep & after) + 1
-    one, inv = _tables(n)
-    sums = np.zeros(n + 1, U)
-    np.cumsum(_BYTES[data] * one[:n], out=sums[1:])
-    h = (sums[end] - sums[start]) * inv[start]
-    return Words(data, off, start, end, np.searchsorted(start, off), mix(h ^ (end - start).astype(U)))
+    return Words(data, off, start, end, np.searchsorted(start, off), hashes(data, start, end))
 
 
 def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
