@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kvlog.llm.common import save, table
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -52,13 +52,13 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kvlog.llm.tokens import encode_documents
 
-    return encode_documents(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return encode_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kvlog.llm.packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kvlog.llm.shards import read_shards, write_shards
 
-    return read_shards(write_shards(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json")))
+    return read_shards(write_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kvlog.llm.common import doc_id, drop, keyed, save, ship
+from kvlog.llm.common import NULL_KEY, doc_id, drop, keyed, save, ship
 from kvlog.llm.text import grams, signed, slices, words
 
 WINDOW = 13
@@ -161,8 +162,8 @@ def _cut(window: int, with_text: bool):
                     digests.append(hashlib.sha256(kept).hexdigest())
                     if with_text:
                         texts.append(kept.decode() if lost[row] else None)
-                cols = [b.column(0), pa.array(many), pa.array(lost), pa.array(digests)]
-                names = ["k", "n_words", "n_removed", "kept_sha256"]
+                names = [*b.schema.names[3:], "n_words", "n_removed", "kept_sha256"]
+                cols = [*[b.column(c) for c in range(3, b.num_columns)], pa.array(many), pa.array(lost), pa.array(digests, pa.string())]
                 if with_text:
                     cols.append(pa.array(texts, pa.string()))
                     names.append("kept")
@@ -176,18 +177,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     of smaller id, as the input stands.
 
     Returns per row of ``docs``: ``doc_id, n_words, n_removed, kept_sha256`` (of the
-    kept words joined by one space) and, with ``with_text``, ``kept``: the kept
-    words joined by one space where any word went, else null.
+    kept words joined by one space). With ``with_text``, all columns of ``docs`` and
+    ``kept``: the kept words joined by one space where any word went, else null.
 
     Null and empty texts have no words: ``0, 0``, the digest of the empty text.
     Texts shorter than a window keep all. Rows of one ``doc_id`` never repeat each
     other, for neither id is smaller. A null id is smaller than all others.
     """
     ship(docs.sparkSession)
-    docs = keyed(docs)
-    rows, known = _windows(docs, window)
+    # With texts, the other columns go along under names of our own.
+    names = list(docs.columns) if with_text else ["doc_id"]
+    rest = [F.col(c).alias(f"_{i}") for i, c in enumerate(names)]
+    wide = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *rest)
+    rows, known = _windows(keyed(docs), window)
     later = rows.join(known, "h").where("k > first").groupBy("k").agg(F.collect_set("h").alias("hs"))
-    joined = docs.join(later, "k", "left").select("k", "text", "hs")
-    schema = "k long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    out = joined.mapInArrow(_cut(window, with_text), schema)
-    return out.select(doc_id(), *[c for c in out.columns if c != "k"])
+    joined = wide.join(later, "k", "left").select("k", "text", "hs", *[f"_{i}" for i in range(len(names))])
+    kinds = [f for f in joined.schema.fields if f.name not in ("k", "text", "hs")]
+    added = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("kept", T.StringType())][: 4 if with_text else 3]
+    out = joined.mapInArrow(_cut(window, with_text), T.StructType([*kinds, *[T.StructField(n, t) for n, t in added]]))
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)], *[n for n, _ in added])
