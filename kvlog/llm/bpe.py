@@ -131,11 +131,11 @@ class Library:
     """Ids by the tokenizers library for many texts at once, each word encoded once.
 
     Words are stretches that the library's own splitting never joins: between white
-    space for the vocabulary with word ends, from one space to the next for the
-    byte-level one. A text in which that does not hold, or that spells out a special
+    space for the vocabulary with word ends, from one space or line end to the next for
+    the byte-level one. A text in which that does not hold, or that spells out a special
     token, is one word. Words are known by 64-bit hashes of their bytes; a worker
     remembers a bounded number of them. New plain words go to the library many in one
-    text; the ids show where each ends (a word end) or begins (a leading space).
+    text; the ids show where each ends (a word end) or begins (a leading space or line end).
     """
 
     def __init__(self, path: str):
@@ -151,8 +151,8 @@ class Library:
         suffix = model.get("end_of_word_suffix")
         self.spaced = not suffix
         self.edge = np.zeros(max(model["vocab"].values()) + 1 + len(self.special), bool)
-        lead = byte_alphabet()[0x20]
-        self.edge[[i for t, i in model["vocab"].items() if (t.startswith(lead) if self.spaced else t.endswith(suffix))]] = True
+        lead = byte_alphabet()[0x20] + byte_alphabet()[0x0A]
+        self.edge[[i for t, i in model["vocab"].items() if (t[0] in lead if self.spaced else t.endswith(suffix))]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -215,6 +215,9 @@ class Library:
             space = data == 32
             white = _white(data)
             begin = own[:-1] | space
+            if n > 2:
+                line = np.flatnonzero((data[1:-1] == 10) & ~white[:-2] & ~white[2:]) + 1
+                begin[line[~own[line] & ~own[line + 1]]] = True
             # A run of white space is cut as the library does only if a space ends or begins it.
             bad = np.flatnonzero(space[1:-1] & white[:-2] & white[2:]) + 1 if n > 2 else np.zeros(0, np.int64)
             odd += bad[~own[bad] & ~own[bad + 1]].tolist()
@@ -261,7 +264,7 @@ class Library:
 
 #: Words of letters that lower case and normalisation keep whole, and marks after them.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_SPACED = re.compile(f"( [{_LETTERS}]+)([.,!?;:()*#$%&]*)")
+_SPACED = re.compile(f"([ \n][{_LETTERS}]+)([.,!?;:()*#$%&]*)")
 _BARE = re.compile(f"([{_LETTERS}]+)([.,!?;:()*#$%&]*)")
 _WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80\xa8", b"\xe2\x80\xa9", b"\xe2\x80\xaf", b"\xe2\x81\x9f", b"\xe3\x80\x80", *(bytes([0xE2, 0x80, i]) for i in range(0x80, 0x8B)))
 
