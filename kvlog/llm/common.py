@@ -53,17 +53,22 @@ def doc_id(col: str = "k"):
     return F.when(F.col(col) != NULL_KEY, F.col(col)).alias("doc_id")
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which all nodes share.
 
-    Where the setting is missing (tests, a single machine), one is made and set.
+    Where the setting is missing (tests, a single machine), one is made.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="kvlog-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="kvlog-")
+        found = _own[app]
     return found.rstrip("/")
 
 

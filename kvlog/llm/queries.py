@@ -49,6 +49,12 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kvlog.llm.licences import KNOWN, find
+
+    return find(table(spark, sf_dir, "documents"), KNOWN)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kvlog.llm.tokens import encode_documents
 
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_fingerprints,
         op3_quality,
         op4_lm_scores,
+        op5_licences,
         op6_bpe,
         op7_packing,
         op8_topk,

@@ -152,6 +152,7 @@ def _forest(ok: np.ndarray) -> list[tuple[int, int]]:
 
 def _verify(threshold: float):
     def check(key, rows):
+        rows = list({(x[3], x[4]): x for x in rows}.values())  # repeated rows are in ``copies``
         sets = [np.frombuffer(x[4], U) for x in rows]
         k = [x[3] for x in rows]
         copies = np.array([x[5] for x in rows], np.int64)
