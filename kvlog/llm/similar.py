@@ -27,8 +27,9 @@ from kvlog.llm.text import U, grams, mix, signed, slices, words
 N, THRESHOLD = 5, 0.8
 #: Target: part of the pairs at the threshold that share a band.
 RECALL = 0.9999
-#: N-grams in one block of a group.
-BLOCK = 60_000
+#: N-grams in one block of a group. A set counts as ``LEAST`` of them at least, which
+#: bounds the sets of a block, whose links are a square.
+BLOCK, LEAST = 60_000, 30
 
 
 def bands_for(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
@@ -233,7 +234,7 @@ def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     bucket = member.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("band", "low")
     tied = components(member.join(bucket, "band").where("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v")))
     comp = tied.select(F.col("u").alias("rep"), F.col("v").alias("comp")).unionByName(tied.select(F.col("v").alias("rep"), F.col("v").alias("comp")).distinct())
-    one = sets.groupBy("rep").agg(F.max("copies").alias("copies"), F.sum("size").alias("size"))
+    one = sets.groupBy("rep").agg(F.max("copies").alias("copies"), F.sum(F.greatest("size", F.lit(LEAST))).alias("size"))
     comp = save(comp.join(one, "rep"), "groups")
     cut = comp.groupBy("comp").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / block)).cast("int").alias("blocks"))
     comp = comp.join(cut, "comp").select(F.col("rep").alias("k"), "comp", "blocks", "copies")
