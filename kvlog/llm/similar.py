@@ -191,7 +191,10 @@ def _edges(rows: list) -> pa.RecordBatch:
 def components(edges: DataFrame) -> DataFrame:
     """``(u, v)``: every node that has an edge and is not the least of its component,
     with the least. Large-star and small-star steps in turn until nothing changes; each
-    round is written to the shared folder."""
+    round is written to the shared folder.
+
+    What is joined to the edges of a node is written first: with plain scans on both
+    sides the planner can split the edges of a node that has very many."""
 
     def mark(e):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -200,13 +203,14 @@ def components(edges: DataFrame) -> DataFrame:
     was = mark(e)
     while was[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = save(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = save(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = save(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = mark(new)
-        drop(e)
+        for x in (e, low, large, least):
+            drop(x)
         e = new
         if now == was:
             break
@@ -232,6 +236,7 @@ def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     sets = save(sets, "sets")
     member = sets.select("rep", F.explode("bands").alias("band"))
     bucket = member.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("band", "low")
+    bucket = save(bucket, "buckets")
     tied = components(member.join(bucket, "band").where("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v")))
     comp = tied.select(F.col("u").alias("rep"), F.col("v").alias("comp")).unionByName(tied.select(F.col("v").alias("rep"), F.col("v").alias("comp")).distinct())
     one = sets.groupBy("rep").agg(F.max("copies").alias("copies"), F.sum(F.greatest("size", F.lit(LEAST))).alias("size"))
@@ -246,9 +251,9 @@ def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     found = save(found, "links")
     final = components(found.where("links = 0").select("u", "v"))
     links = found.where("links > 0").groupBy("u").agg(F.sum("links").alias("links"))
-    out = sketch.select("k", "d1", "d2").join(sets.select("d1", "d2", "rep", "copies"), ["d1", "d2"])
-    out = out.join(final.select(F.col("u").alias("rep"), F.col("v").alias("label")), "rep", "left")
-    out = out.join(links.select(F.col("u").alias("rep"), "links"), "rep", "left")
+    known = sets.select("d1", "d2", "rep", "copies").join(final.select(F.col("u").alias("rep"), F.col("v").alias("label")), "rep", "left")
+    known = save(known.join(links.select(F.col("u").alias("rep"), "links"), "rep", "left"), "known")
+    out = sketch.select("k", "d1", "d2").join(known, ["d1", "d2"])
 
     def id_of(c):
         return F.when(c != F.lit(-(2**63)), c)
