@@ -23,11 +23,18 @@ KNOWN = {
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
 }
+# Titles that may stand above the texts.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+}
+TEXTS = {name: [body, *[f"{title}\n{body}" for title in TITLES[name]]] for name, body in KNOWN.items()}
 
 
 def licence_form(col: str) -> Column:
     """The canonical form of a column of texts."""
-    x = F.regexp_replace(F.col(col), r"(?im)^.*(copyright\s*(\(c\)|©|\d{4})|©\s*\d{4}|\(c\)\s*\d{4}|all rights reserved).*$", " ")
+    x = F.regexp_replace(F.col(col), r"(?im)^.*(copyright\s*(\(c\)|©|\d{4}|[<\[{])|©\s*\d{4}|\(c\)\s*\d{4}|all rights reserved).*$", " ")
     return x
 
 
@@ -39,17 +46,17 @@ def _form(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn("_form", x).drop("_lines", "_canon")
 
 
-def find(docs: DataFrame, licences: dict[str, str] | DataFrame) -> DataFrame:
+def find(docs: DataFrame, licences: dict[str, str | list[str]] | DataFrame) -> DataFrame:
     """Per row of ``docs``: ``doc_id, digest`` (of its canonical form) and ``licence``, the name of the licence that its whole
     text is, else null.
 
-    ``licences`` maps names to texts, or is ``(licence, text)``; of names with one
+    ``licences`` maps names to a text or several, or is ``(licence, text)``; of names with one
     canonical text the least is given. Null and empty texts are no licence, and neither is
     a text in which a licence is only a part.
     """
     spark = docs.sparkSession
     if isinstance(licences, dict):
-        licences = spark.createDataFrame(list(licences.items()), "licence string, text string")
+        licences = spark.createDataFrame([(name, t) for name, of in licences.items() for t in ([of] if isinstance(of, str) else of)], "licence string, text string")
     known = _form(licences.select("licence", F.coalesce("text", F.lit("")).alias("_text")), "_text").where("_form <> ''")
     a, b = digest("_form")
     known = known.groupBy(a.alias("h1"), b.alias("h2")).agg(F.min("licence").alias("licence"))

@@ -50,9 +50,9 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from kvlog.llm.licences import KNOWN, find
+    from kvlog.llm.licences import TEXTS, find
 
-    return find(table(spark, sf_dir, "documents"), KNOWN)
+    return find(table(spark, sf_dir, "documents"), TEXTS)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -277,6 +277,10 @@ def test_licences(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, licence string")
     assert {r.doc_id: r.licence for r in licences.find(df, known).collect()} == {1: "plain", 2: None, 3: None, 4: None, 5: "other"}
     assert licences.find(df.where("false"), known).count() == 0
+    mit, zlib_ = licences.KNOWN["MIT"], licences.KNOWN["Zlib"]
+    whole = [(1, f"The MIT License (MIT)\n\nCopyright (c) 2019 A B\n\n{mit}"), (2, f"Copyright <YEAR> <HOLDER>\n{mit.upper()}"), (3, f"zlib License\n\n(C) 1995-2013 X and Y\n\n  {zlib_}\n"), (4, mit + " More.")]
+    got = licences.find(spark.createDataFrame(whole, "doc_id long, text string"), licences.TEXTS).collect()
+    assert {r.doc_id: r.licence for r in got} == {1: "MIT", 2: "MIT", 3: "Zlib", 4: None}
 
 
 def test_components(spark):
