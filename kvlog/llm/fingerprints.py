@@ -47,16 +47,16 @@ def groups(docs: DataFrame) -> DataFrame:
     h1, h2 = digest("canon")
     d = d.select("k", "canon", h1.alias("h1"), h2.alias("h2"))
     ids = save(d.select("k", "h1", "h2"), "digests")
-    full = ids.groupBy("h1", "h2").agg(F.min("k").alias("low"), F.count("*").alias("n"))
-    shared = full.where("n > 1")
-    # Bytes are compared inside equal buckets only: each task sends the distinct texts it has.
-    texts = d.join(shared.select("h1", "h2"), ["h1", "h2"], "left_semi")
-    exact = texts.groupBy("h1", "h2", "canon").agg(F.min("k").alias("low"), F.count("*").alias("n"))
-    many = save(exact.groupBy("h1", "h2").agg(F.count("*").alias("texts")).where("texts > 1"), "collisions")
-    out = ids.join(full, ["h1", "h2"]).join(many, ["h1", "h2"], "left")
-    clear = out.where("texts is null").select("k", "h1", "h2", "low", "n")
-    mixed = d.join(many, ["h1", "h2"]).join(exact, ["h1", "h2", "canon"]).select("k", "h1", "h2", "low", "n")
-    return clear.unionByName(mixed).select(doc_id(), _hex("h1", "h2").alias("fingerprint"), F.when(F.col("low") != NULL_KEY, F.col("low")).alias("group_id"), F.col("n").alias("n_copies"))
+    # Bytes are compared inside equal buckets only. Each task sends the distinct texts it has,
+    # so a text that very many documents share is never gathered.
+    exact = d.groupBy("h1", "h2", "canon").agg(F.min("k").alias("low"), F.count("*").alias("n"))
+    full = save(exact.groupBy("h1", "h2").agg(F.min("low").alias("low"), F.sum("n").alias("n"), F.count("*").alias("texts")), "buckets")
+    cols = ["k", "h1", "h2", "low", "n"]
+    out = ids.join(full, ["h1", "h2"]).where("texts = 1").select(*cols)
+    mixed = full.where("texts > 1").select("h1", "h2")
+    if not mixed.isEmpty():
+        out = out.unionByName(d.join(mixed, ["h1", "h2"]).join(exact, ["h1", "h2", "canon"]).select(*cols))
+    return out.select(doc_id(), _hex("h1", "h2").alias("fingerprint"), F.when(F.col("low") != NULL_KEY, F.col("low")).alias("group_id"), F.col("n").alias("n_copies"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:

@@ -146,6 +146,12 @@ def test_fingerprints(docs, empty, rows):
     assert "Python" not in fingerprints.edited_fingerprints(docs)._jdf.queryExecution().toString()
 
 
+def test_fingerprint_collisions(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "digest", lambda canon: (F.char_length(canon).cast("long"), F.lit(1).cast("long")))
+    df = spark.createDataFrame([(1, "aa"), (2, "bb"), (3, "AA "), (4, "abc"), (5, "bb"), (6, "bb")], "doc_id long, text string")
+    assert {r.doc_id: (r.group_id, r.n_copies) for r in fingerprints.groups(df).collect()} == {1: (1, 2), 3: (1, 2), 2: (2, 3), 5: (2, 3), 6: (2, 3), 4: (4, 1)}
+
+
 def test_quality(spark, empty):
     rng = random.Random(3)
     good = lambda: " ".join("".join(rng.choices("abcdefg", k=rng.randint(2, 8))) for _ in range(rng.randint(20, 90))) + "."
