@@ -40,9 +40,13 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def events_log(spark: SparkSession, d: str) -> DataFrame:
+    return _as_log(_t(spark, d, "events"))
+
+
+def _as_log(events: DataFrame) -> DataFrame:
     e = F.col("event_type")
     op = F.when(e == "error", "d").when(e == "view", "g").when(e == "signup", "r").otherwise("p")
-    return _t(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("int").alias("k"), op.alias("op"), F.round(F.col("value") * 100).cast("int").alias("v"))
+    return events.select(F.col("event_id").alias("seq"), F.col("user_id").cast("int").alias("k"), op.alias("op"), F.round(F.col("value") * 100).cast("int").alias("v"))
 
 
 def event_ranges(log: DataFrame, swap: bool = False) -> DataFrame:
@@ -462,3 +466,15 @@ def run_files(spark, d):
     path = _scratch(spark, "runs")
     write_run(_runs(spark, d)[0], path, 100_000)
     return spark.read.parquet(path).where("k between 100 and 200").select("run_id", "k", "seq", "op", "v")
+
+
+@query(f"WITH {LOG} SELECT k, max(seq) AS seq, arg_max(op, seq) AS op, CASE WHEN arg_max(op, seq) = 'p' THEN arg_max(v, seq) END AS v FROM log WHERE op IN ('p', 'd') GROUP BY k")
+def stream_snapshot(spark, d):
+    """The newest mutation of each key, from ``events`` read as a stream."""
+    from kvlog.streaming.live import run_available
+
+    source = _t(spark, d, "events")
+    # a stream's plain path must be a folder; a pattern may match one file
+    events = spark.readStream.schema(source.schema).parquet(f"{d.rstrip('/')}/events.parque[t]")
+    log = L.mutations(_as_log(events))
+    return run_available(log.withColumn("v", F.when(F.col("op") == "p", F.col("v"))), _scratch(spark, "stream"))

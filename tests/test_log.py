@@ -14,7 +14,7 @@ from kvlog.plans import log as L
 from kvlog.plans import runs as R
 from kvlog.sources import files
 from kvlog.sources.workload import Workload, generate
-from kvlog.streaming.live import live_commands, live_snapshot
+from kvlog.streaming.live import live_commands, live_snapshot, run_available
 from pyspark.sql import functions as F
 
 LOG = "seq long, op string, k int, v int"
@@ -183,6 +183,17 @@ def test_stream(spark, tmp_path):
     assert {r.k: (r.op, r.v) for r in spark.table("live").collect()} == {1: ("d", None), 2: ("p", 7)}
 
 
+def test_stream_runs(spark, tmp_path):
+    schema = "seq long, op string, k int, v int"
+    log = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "in"))
+    assert run_available(log(), str(tmp_path / "a")).count() == 0
+    for part in ([(0, "p", 1, 5), (3, "p", 2, 6)], [(1, "p", 2, 9), (4, "d", 1, None)]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "in"))
+    got = run_available(log(), str(tmp_path / "b")).collect()
+    assert {r.k: (r.seq, r.op, r.v) for r in got} == {1: (4, "d", None), 2: (3, "p", 6)}
+
+
 def test_queries_match_sql(spark):
     import __spark_entry__
     import duckdb
@@ -195,7 +206,7 @@ def test_queries_match_sql(spark):
     from kvlog.queries import QUERIES, SQL
 
     assert __spark_entry__.entry(spark).count() > 0
-    for name in ("kv_point_get", "kv_range_asof", "run_catalog", "throughput_windows", "put_bursts", "dsl_parse", "multimap_get"):
+    for name in ("kv_point_get", "kv_range_asof", "run_catalog", "throughput_windows", "put_bursts", "dsl_parse", "multimap_get", "stream_snapshot"):
         a = QUERIES[name](spark, sf).toPandas()
         b = con.sql(SQL[name]).df()[list(a.columns)]
         key = lambda x: sorted(str([None if pd.isna(v) else round(float(v), 4) if not isinstance(v, str) else v for v in r]) for r in x.astype(object).itertuples(index=False))
