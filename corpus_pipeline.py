@@ -2,7 +2,8 @@
 
 1. ``quality``: a classifier learns ``labels.quality`` and rejects poor documents.
 2. ``near_duplicates``: of documents linked by 5-word shingles (Jaccard similarity of
-   0.8 or more, chains included) the one of least id stays.
+   0.8 or more, chains included) the one of least id stays. Rows that share an id or have none are
+   documents of their own.
 3. ``repeated_passages``: words in 13-word windows that an earlier document also has
    are removed.
 4. ``packing``: what is left is encoded and packed into sequences of 4096 tokens.
@@ -14,7 +15,7 @@ against a brute-force version.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvlog.llm.common import save, table
@@ -32,11 +33,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates. Of rows that repeat an id one stays."""
-    keep = similar_documents(docs).where("doc_id <=> class_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs.doc_id.eqNullSafe(F.col("_keep")), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)
+    """One document of each class of near duplicates. Every row is a document of its own,
+    whatever its id: rows that share an id, or have none, are linked by their texts only."""
+    rows = save(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    linked = similar_documents(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "class_id")
+    least = F.min(F.struct("doc_id", "_row")).alias("least")
+    keep = rows.select("_row", "doc_id").join(linked, "_row").groupBy("class_id").agg(least).select("least._row")
+    return rows.join(keep, "_row", "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -318,3 +318,13 @@ def test_pipeline(spark):
         assert hashlib.sha256(" ".join(_split(r.text)).encode()).hexdigest() == want[r.doc_id][1] and r.n_chars == len(r.text)
     assert {r.doc_id for r in P.run(spark, sf).collect()} == classes
     assert P.run(spark, sf).columns == P.packing(spark, cut, sf).columns
+
+
+def test_pipeline_keeps_different_texts_of_one_id(spark):
+    import corpus_pipeline as P
+
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(None, a), (None, b), (5, a + " more"), (9, b + " more"), (7, "one text of this id"), (7, "and quite another text"), (7, "one text of this id"), (None, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter((r.doc_id, r.text) for r in P.near_duplicates(spark, docs, "").collect())
+    assert got == collections.Counter([(None, a), (None, b), (7, "one text of this id"), (7, "and quite another text"), (None, None)])
