@@ -7,6 +7,8 @@ to the known ones by a 128-bit hash of it.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,19 +19,38 @@ from kvlog.llm.fingerprints import canonical, digest
 SPELLINGS = [("license", "licence"), ("organization", "organisation"), ("authorized", "authorised"), ("merchantability", "merchantibility"), ("favor", "favour"), ("noncommercial", "non commercial"), ("sublicense", "sub license"), ("copyright holder", "copyright owner")]
 
 
-# Texts of public licences, to which callers may add theirs.
+# Texts of public licences, to which callers may add theirs. Longer ones lie in ``licence_texts``.
 KNOWN = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
 }
+KNOWN |= {f.stem: f.read_text(encoding="utf-8") for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
 # Titles that may stand above the texts.
 TITLES = {
     "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
     "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
     "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "BSD License"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
 }
-TEXTS = {name: [body, *[f"{title}\n{body}" for title in TITLES[name]]] for name, body in KNOWN.items()}
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def _variants(name: str) -> list[str]:
+    """The text, its part before the advice on how to apply it, links of either scheme,
+    and each of them below its titles."""
+    out = [KNOWN[name]]
+    if _END in out[0]:
+        terms = out[0][: out[0].index(_END)]
+        out += [terms, terms + _END]
+    out += [t.replace("https://", "http://") for t in out if "https://" in t]
+    return out + [f"{title}\n{t}" for title in TITLES.get(name, []) for t in out]
+
+
+TEXTS = {name: _variants(name) for name in KNOWN}
 
 
 def licence_form(col: str) -> Column:

@@ -289,6 +289,15 @@ def test_licences(spark):
     assert {r.doc_id: r.licence for r in got} == {1: "MIT", 2: "MIT", 3: "Zlib", 4: None}
 
 
+def test_common_licences_are_known(spark):
+    want = ["0BSD", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense"]
+    texts = [(i, licences.KNOWN[name]) for i, name in enumerate(want)]
+    texts += [(20, "BSD 3-Clause License\n\nCopyright (c) 2020, A B\nAll rights reserved.\n\n" + licences.KNOWN["BSD-3-Clause"]), (21, licences.KNOWN["Apache-2.0"].split("APPENDIX")[0]), (22, "Licensed under the Apache License, Version 2.0")]
+    got = licences.find(spark.createDataFrame(texts, "doc_id long, text string"), licences.TEXTS).collect()
+    assert {r.doc_id: r.licence for r in got} == {**dict(enumerate(want)), 20: "BSD-3-Clause", 21: "Apache-2.0", 22: None}
+    assert len(want) < len(licences.KNOWN) and all(len(t) > 300 for t in licences.KNOWN.values())
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(60)]
