@@ -1,12 +1,13 @@
 """Licence scans: documents whose whole text is a known licence.
 
-Texts are put into one canonical form (NFKC and case folding, copyright lines dropped,
-equivalent spellings made one, punctuation and white space runs one space) and joined
+Texts are put into one canonical form (NFKC and case folding, copyright notices that
+have a line of their own or lead to the licence dropped, equivalent spellings made one, punctuation and white space runs one space) and joined
 to the known ones by a 128-bit hash of it.
 """
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -53,14 +54,41 @@ def _variants(name: str) -> list[str]:
 TEXTS = {name: _variants(name) for name in KNOWN}
 
 
-def licence_form(col: str) -> Column:
-    """The canonical form of a column of texts."""
-    x = F.regexp_replace(F.col(col), r"(?im)^.*(copyright\s*(\(c\)|©|\d{4}|[<\[{])|©\s*\d{4}|\(c\)\s*\d{4}|all rights reserved).*$", " ")
-    return x
+# A notice: a mark, years or a place for them, and a holder of bounded length without a sentence in it.
+_YEARS = r"(?:\d{4}|19yy|yyyy|[<\[{][^\n\r>\]}]{1,40}[>\]}])"
+_WORD = r"(?:[^\s.,;!?@]{1,60}|[^\s,]{0,60}[.@][^\s,]{0,60}[\p{L}\p{N}>)/]|(?:\p{L}|inc|ltd|llc|co|corp|jr|sr|al)\.)"
 
 
-def _form(df: DataFrame, col: str) -> DataFrame:
-    df = df.withColumn("_lines", licence_form(col)).withColumn("_canon", canonical("_lines"))
+def _notice(space: str, apart: str) -> str:
+    mark = rf"(?:(?:copyright{space}*(?:\(c\)|©)|©{space}*copyright){space}*:?|copyright(?:{space}|:)*(?={_YEARS})|(?:\(c\)|©){space}*(?={_YEARS}))(?:{space}*{_YEARS}(?:{space}*[-–]{space}*\w{{1,7}})?)?"
+    return rf"{mark}(?:{apart}+{_WORD}){{0,16}}(?:{space}|[.,;])*(?:all rights reserved(?:{space}|\.)*)?"
+
+
+_LINE = r"(?im)^[^\p{L}\p{N}\n\r(©]*" + _notice(r"[ \t]", r"[ \t,]") + r"[*/#\-]*[ \t]*$"
+_RESERVED = r"(?im)^[^\p{L}\p{N}\n\r]*all rights reserved[ \t.*/#\-]*$"
+#: Words by which a licence's beginning is known.
+_OPENING = 5
+_GAP = r"[^\p{L}\p{N}]+"
+
+
+def _phrase(x: str, most: int) -> str:
+    """A pattern for the first words of a text, in any case and spelling."""
+    same = {w: f"(?:{a}|{b})" for a, b in SPELLINGS if " " not in a + b for w in (a, b)}
+    return _GAP.join(same.get(w, w) for w in re.findall(r"[^\W_]+", x.lower())[:most])
+
+
+def licence_form(col: str, openings: list[str]) -> Column:
+    """A column of texts without copyright notices: those that lead, after a title or
+    none, to the first words of a licence, and lines that are a notice and nothing else."""
+    x = F.col(col)
+    if openings:
+        titles = "|".join(sorted({_phrase(t, 99) for of in TITLES.values() for t in of}, key=len, reverse=True))
+        x = F.regexp_replace(x, rf"(?i)^([^\p{{L}}\p{{N}}(©]*(?:(?:{titles})\b[^\p{{L}}\p{{N}}(©]*)?)(?:{_notice(chr(92) + 's', '[' + chr(92) + 's,]')})+(?=[^\p{{L}}\p{{N}}]*(?:{'|'.join(openings)})\b)", "$1 ")
+    return F.regexp_replace(F.regexp_replace(x, _LINE, " "), _RESERVED, " ")
+
+
+def _form(df: DataFrame, col: str, openings: list[str]) -> DataFrame:
+    df = df.withColumn("_lines", licence_form(col, openings)).withColumn("_canon", canonical("_lines"))
     x = F.trim(F.regexp_replace("_canon", r"[^\p{L}\p{N}]+", " "))
     for a, b in SPELLINGS:
         x = F.regexp_replace(x, rf"\b{b}\b", a)
@@ -78,9 +106,14 @@ def find(docs: DataFrame, licences: dict[str, str | list[str]] | DataFrame) -> D
     spark = docs.sparkSession
     if isinstance(licences, dict):
         licences = spark.createDataFrame([(name, t) for name, of in licences.items() for t in ([of] if isinstance(of, str) else of)], "licence string, text string")
-    known = _form(licences.select("licence", F.coalesce("text", F.lit("")).alias("_text")), "_text").where("_form <> ''")
+    # Also as folded to one line, where notices inside a text are no lines of their own.
+    texts = licences.select("licence", F.coalesce("text", F.lit("")).alias("_text"))
+    texts = texts.unionByName(texts.withColumn("_text", F.regexp_replace("_text", r"\s+", " ")))
+    openings = sorted({p for r in texts.select(F.substring("_text", 1, 400).alias("x")).distinct().collect() if (p := _phrase(r.x, _OPENING))})
+    known = _form(texts, "_text", openings).where("_form <> ''")
+    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    d = _form(d, "_text", openings)
     a, b = digest("_form")
     known = known.groupBy(a.alias("h1"), b.alias("h2")).agg(F.min("licence").alias("licence"))
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    d = _form(d, "_text").select("k", a.alias("h1"), b.alias("h2"))
+    d = d.select("k", a.alias("h1"), b.alias("h2"))
     return d.join(known, ["h1", "h2"], "left").select(doc_id(), F.concat(F.lpad(F.lower(F.hex("h1")), 16, "0"), F.lpad(F.lower(F.hex("h2")), 16, "0")).alias("digest"), "licence")

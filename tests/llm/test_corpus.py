@@ -298,6 +298,24 @@ def test_common_licences_are_known(spark):
     assert len(want) < len(licences.KNOWN) and all(len(t) > 300 for t in licences.KNOWN.values())
 
 
+def test_licence_notices(spark):
+    mit, isc, gpl, bsd = (licences.KNOWN[x] for x in ("MIT", "ISC", "GPL-3.0", "BSD-3-Clause"))
+    texts = [
+        ("MIT License Copyright (c) 2019 A B " + mit, "MIT"),
+        ("Copyright © 2019-2021 A B, Inc. All rights reserved. " + bsd.replace("\n", " "), "BSD-3-Clause"),
+        ("Copyright 2012 A B Copyright (c) 2019 C D <c@d.org> " + mit, "MIT"),
+        (" * Copyright (c) 2019, 2020 A. B. Corp. <a@b.org>, C D. All rights reserved.\r\n" + mit, "MIT"),
+        (" ".join(gpl.split()), "GPL-3.0"),
+        ("The story of our shop, all rights reserved by no one, goes on here.\n" + mit, None),
+        ("Copyright (c) 2019 A B. This text is ours. Call us for a licence.\n" + mit, None),
+        ("Some prose before it. Copyright (c) 2019 A B " + mit, None),
+        ("MIT License Copyright (c) 2019 A B " + isc, None),
+        ("MIT License Copyright (c) 2019 A B " + mit + " And more.", None),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.licence for r in licences.find(df, licences.TEXTS).collect()} == {i: x for i, (_, x) in enumerate(texts)}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(60)]
