@@ -186,6 +186,21 @@ def test_language(docs, empty, rows):
     assert {r.score for r in language.language_scores(docs.where("doc_id is null"), F.lit(False)).collect()} == {0.0}
 
 
+def test_every_context_has_its_restaurant(spark):
+    # 300 words that are equally frequent, each always followed by a word of its own.
+    rng = random.Random(4)
+    texts = []
+    for _ in range(600):
+        texts.append(" ".join(f"a{i} b{i}" for i in rng.sample(range(300), 20)))
+    right, wrong, new = "a7 b7 a8 b8", "a7 b8 a8 b7", "zzz b7"
+    rows = [(i, t) for i, t in enumerate([right, wrong, new, *texts])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in language.language_scores(df, F.col("doc_id") >= 3).collect() if r.doc_id < 3}
+    assert got[0] - got[1] > 4 and -20 < got[2] < 0
+    many = {r.doc_id: r.score for r in language.language_scores(df.where("doc_id in (0, 1)"), F.lit(False)).collect()}
+    assert many == {0: 0.0, 1: 0.0}
+
+
 def test_predictive_sums_to_one():
     t = language.Totals(np.array([3, 1, 1, 1, 1, *([0, 7, 2] + [0] * (language._K - 3))]))
     count, own = np.array([4, 3, 2]), np.array([1, 1, 2])  # words 0, 1 in restaurant 1, word 2 in 2
