@@ -1,6 +1,6 @@
 """Packing of documents into sequences of fixed length, by a grouping genetic algorithm.
 
-Pieces are dealt by hash to groups of bounded size. Several islands, each a task of its
+Pieces are dealt by a hash of their row number to groups of bounded size. Several islands, each a task of its
 own, evolve solutions of one group: crossover injects whole well-filled bins of one
 parent into the other, drops the bins that hold a document twice, and best-fits what was
 displaced. After each epoch every island sends its elite to the next one. The best
@@ -180,7 +180,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, island
     total, rounds = todo.count(), 1
     while total:
         n = max(1, -(-total // group))
-        deal = F.pmod(F.xxhash64(*todo.columns, F.lit(rounds)), F.lit(n)).alias("grp")
+        # By row, not by value: rows that repeat each other spread over all groups.
+        deal = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(rounds)), F.lit(n)).alias("grp")
         rows = todo.select(deal, F.struct("length", "k", "piece", "start", "ids_crc32").alias("item"))
         sets = save(rows.groupBy("grp").agg(F.sort_array(F.collect_list("item")).alias("items")), "groups")
         best = None

@@ -259,6 +259,24 @@ def test_packing(docs, empty, rows):
     assert packing.pack_documents(empty, WORD).count() == 0
 
 
+def test_packing_deals_repeated_rows(spark, monkeypatch):
+    most = []
+
+    def save(df, name):
+        out = common.save(df, name)
+        if name == "groups":
+            most.append(out.agg(F.max(F.size("items"))).first()[0])
+        return out
+
+    monkeypatch.setattr(packing, "save", save)
+    rows = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    cut = common.save(packing.pieces(rows, WORD, capacity=64), "p")
+    got = packing.pack(cut, 64, 100)
+    bins = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.countDistinct("offset").alias("o"), F.count("*").alias("c")).collect()
+    assert most and max(most) < 200 and sum(b.c for b in bins) == 2000
+    assert all(b.n <= 64 and b.o == b.c for b in bins)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8)).astype("float32")
