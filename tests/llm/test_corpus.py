@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from kvlog.llm import bpe, common, fingerprints, language, licences, nearest, packing, quality, shards, similar, substrings, text, tokens
+from kvlog.llm import bpe, common, fingerprints, language, licences, nearest, packing, quality, seating, shards, similar, substrings, text, tokens
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -202,14 +202,112 @@ def test_every_context_has_its_restaurant(spark):
 
 
 def test_predictive_sums_to_one():
-    t = language.Totals(np.array([3, 1, 1, 1, 1, *([0, 7, 2] + [0] * (language._K - 3))]))
-    count, own = np.array([4, 3, 2]), np.array([1, 1, 2])  # words 0, 1 in restaurant 1, word 2 in 2
-    tables, _ = language.seat(count, np.array([0.3, 0.2, 0.4]), t.d, np.random.default_rng(0))
-    t.tables = np.bincount(own, tables, language._K).astype(float)
-    t.root_tables = 3
-    base = np.append(t.parent(tables.astype(float), np.ones(3)), t.parent(np.zeros(1), np.zeros(1)))
-    p = t.rest()[1] * base + np.append(np.where(own == 1, (count - t.d * tables) / (language.THETA + 7), 0), 0)
-    assert abs(base.sum() - 1) < 1e-9 and abs(p.sum() - 1) < 1e-9 and (1 <= tables).all() and (tables <= count).all()
+    # Words 0 and 1 follow context 1, word 2 follows context 2.
+    t = language.Totals(3, 9, 1, 1, 5, 3)
+    count, own = np.array([4, 3, 2]), np.array([1, 1, 2])
+    tables, sizes = seating.start(count, np.array([0.3, 0.2, 0.4]), t.d, np.random.default_rng(0))
+    t.customers = int(tables.sum())
+    base = np.append(t.parent(tables, np.ones(3)), t.parent(np.zeros(1), np.zeros(1)))
+    p = t.rest(np.array([7]), np.array([tables[:2].sum()])) * base + np.append(np.where(own == 1, (count - t.d * tables) / (language.THETA + 7), 0), 0)
+    assert abs(base.sum() - 1) < 1e-9 and abs(p.sum() - 1) < 1e-9
+    assert (1 <= tables).all() and (tables <= count).all() and sizes.sum() == count.sum()
+
+
+@pytest.mark.parametrize("n, weight, d", [(3, 2.0, 0.3), (5, 0.7, 0.6), (8, 1.5, 0.8), (40, 3.0, 0.5)])
+def test_seating_follows_its_law(n, weight, d):
+    """The law of the number of tables, by recursion over customers."""
+    law = np.array([0.0, 1.0] + [0.0] * n)
+    for j in range(1, n):
+        law[1:] = law[1:] * (j - d * np.arange(1, n + 2)) + law[:-1]
+    law = law[1 : n + 1] * weight ** np.arange(1, n + 1)
+    law /= law.sum()
+    rng, rows = np.random.default_rng(1), 6000
+    w = np.full(rows, weight)
+    t, sizes = seating.start(np.full(rows, n), w, d, rng)
+    for _ in range(20):
+        t, sizes = seating.sweep(t, sizes, w, d, rng)
+    assert abs(np.bincount(t, minlength=n + 1)[1:] / rows - law).max() < 0.025
+    # Customers that come and go leave the law of those that are there.
+    t, sizes = seating.sweep(t, sizes, w, d, rng, np.full(rows, 2))
+    t, sizes = seating.sweep(t, sizes, w, d, rng, np.full(rows, -2))
+    for _ in range(10):
+        t, sizes = seating.sweep(t, sizes, w, d, rng)
+    assert sizes.sum() == n * rows and abs(np.bincount(t, minlength=n + 1)[1:] / rows - law).max() < 0.025
+
+
+def test_seating_of_many_customers():
+    rng = np.random.default_rng(2)
+    n, w = np.array([0, 1, 100_000, 50]), np.array([0.5, 0.5, 20.0, 1.0])
+    t, sizes = seating.start(n, w, 0.6, rng)
+    assert t[:2].tolist() == [0, 1] and 60 < t[2] < 400 and sizes.sum() == n.sum()
+    t, sizes = seating.sweep(t, sizes, w, 0.6, rng, np.array([2, -1, 500, 0]))
+    assert t[0] >= 1 and t[1] == 0 and np.bincount(np.repeat(np.arange(4), t), sizes).tolist() == [2, 0, 100_500, 50]
+
+
+def _pitman_yor(train, ask, types, d, root_d, sweeps, burn):
+    """One customer at a time, tables as lists, nothing in parallel. Mean probabilities of
+    the pairs asked for."""
+    rng = random.Random(5)
+    rest: dict = collections.defaultdict(lambda: collections.defaultdict(list))
+    root: dict = collections.defaultdict(list)
+
+    def base(w):
+        m, r, total, tables = sum(root[w]), len(root[w]), sum(map(sum, root.values())), sum(map(len, root.values()))
+        return (m - root_d * r + (language.ROOT_THETA + root_d * tables) / (types + 1)) / (language.ROOT_THETA + total)
+
+    def sit(tables, new, discount):
+        weights = [s - discount for s in tables] + [new]
+        at = rng.choices(range(len(weights)), weights)[0]
+        if at == len(tables):
+            tables.append(0)
+        tables[at] += 1
+        return at == len(tables) - 1 and tables[at] == 1
+
+    def stand(tables):
+        at = rng.choices(range(len(tables)), tables)[0]
+        tables[at] -= 1
+        if not tables[at]:
+            del tables[at]
+            return True
+        return False
+
+    def seat(u, w):
+        if sit(rest[u][w], (language.THETA + d * sum(map(len, rest[u].values()))) * base(w), d):
+            sit(root[w], (language.ROOT_THETA + root_d * sum(map(len, root.values()))) / (types + 1), root_d)
+
+    for u, w in train:
+        seat(u, w)
+    out = np.zeros(len(ask))
+    for i in range(sweeps):
+        for u, w in train:
+            if stand(rest[u][w]):
+                stand(root[w])
+            seat(u, w)
+        if i >= burn:
+            for j, (u, w) in enumerate(ask):
+                c, t = sum(map(sum, rest[u].values())), sum(map(len, rest[u].values()))
+                out[j] += (sum(rest[u][w]) - d * len(rest[u][w]) + (language.THETA + d * t) * base(w)) / (language.THETA + c) / (sweeps - burn)
+    return out
+
+
+def test_language_against_one_customer_at_a_time(spark):
+    rng = random.Random(8)
+    vocab = "ab bc cd de ef fg gh hi ij jk".split()
+    texts = [" ".join(rng.choices(vocab[:6], weights=(9, 5, 3, 2, 1, 1), k=rng.randint(3, 12))) for _ in range(30)]
+    texts += [" ".join(rng.choices(vocab, k=6)) for _ in range(6)] + ["", "ab zz ab"]
+    rows = list(enumerate(texts))
+    held = {i for i, _ in rows if i >= 30}
+    got = {r.doc_id: r.score for r in language.language_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.col("doc_id") < 30, burn_in=5, samples=15, shards=3).collect()}
+    pairs = lambda t: list(zip(["<s>", *t.split()], [*t.split(), "</s>"]))
+    train = [p for i, t in rows if i not in held for p in pairs(t)]
+    n = collections.Counter(collections.Counter(train).values())
+    d = min(max(n[1] / max(n[1] + 2 * n[2], 1), 0.05), 0.95)
+    ask = [(i, p) for i, t in rows for p in pairs(t)]
+    p = _pitman_yor(train, [p for _, p in ask], len({w for _, w in train}), d, 0.5, 700, 100)
+    want = collections.Counter()
+    for (i, _), x in zip(ask, p):
+        want[i] += math.log10(x)
+    assert all(abs(got[i] - want[i]) < 0.03 * abs(want[i]) + 0.05 for i in want), {i: (got[i], want[i]) for i in want}
 
 
 def test_bpe(docs, empty, rows):
