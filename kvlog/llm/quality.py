@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kvlog.llm.common import doc_id, keyed, save, ship
+from kvlog.llm.common import NULL_KEY, drop, save, ship
 from kvlog.llm.text import _SEP, slices, words
 
 #: Fourier features, ridge penalty, most labelled rows that a fit uses, partial sums.
@@ -124,17 +125,14 @@ def _matrix(batch: pa.RecordBatch, i: int) -> np.ndarray:
     return batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
 
 
-def fit(train: DataFrame, features: int = FEATURES, penalty: float = PENALTY, sample: int = SAMPLE) -> Model | None:
-    """Fit on ``train (k, x, y)``; None without rows. Of more than ``sample`` rows a
-    share of about that many is used, chosen by a hash of the key."""
+def fit(train: DataFrame, features: int = FEATURES, penalty: float = PENALTY) -> Model | None:
+    """Fit on ``train (k, x, y)``; None without rows. A quarter of the rows, chosen by a
+    hash of the key, takes no part in the fit and calibrates it. Where that quarter has no
+    row, raw scores stand; where it has all, all scores are the mean of its labels."""
     spark = train.sparkSession
-    total = train.count()
-    if not total:
+    train = save(train.withColumn("hold", F.pmod(F.xxhash64("k", F.lit(4)), F.lit(4)) == 0), "train")
+    if train.isEmpty():
         return None
-    if total > sample:
-        train = train.where(F.pmod(F.xxhash64("k", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * sample / total))
-    calibrate = F.pmod(F.xxhash64("k", F.lit(4)), F.lit(4)) == 0
-    train = save(train.withColumn("hold", calibrate), "train")
     moments = train.agg(*[f(F.col("x")[i]) for i in range(len(NAMES)) for f in (F.avg, F.stddev_pop)]).first()
     mean, dev = np.array(moments[::2], float), np.array(moments[1::2], float)
     rng = np.random.default_rng(11)
@@ -154,8 +152,7 @@ def fit(train: DataFrame, features: int = FEATURES, penalty: float = PENALTY, sa
                 b += z.T @ y
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], ["a", "b"])
 
-    used = train.where(~F.col("hold")) if total >= 8 else train
-    sums = used.select("x", "y").repartition(SUMS).mapInArrow(normal, "a binary, b binary").collect()
+    sums = train.where(~F.col("hold")).select("x", "y").repartition(SUMS).mapInArrow(normal, "a binary, b binary").collect()
     a = sum(np.frombuffer(r.a).reshape(features + 1, -1) for r in sums)
     b = sum(np.frombuffer(r.b) for r in sums)
     model.weights = np.linalg.solve(a + np.eye(features + 1) * penalty * max(a[0, 0], 1.0), b)
@@ -166,70 +163,53 @@ def fit(train: DataFrame, features: int = FEATURES, penalty: float = PENALTY, sa
             s = fitted.value.raw(_matrix(batch, 0)) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([pa.array(s), batch.column(1)], ["s", "y"])
 
-    held = train.where("hold") if total >= 8 else train
-    grid = held.select("x", "y").mapInArrow(raw, "s double, y int").groupBy(F.round(F.greatest(F.least("s", F.lit(2.0)), F.lit(-1.0)), 4).alias("s"))
+    grid = train.where("hold").select("x", "y").mapInArrow(raw, "s double, y int").groupBy(F.round(F.greatest(F.least("s", F.lit(2.0)), F.lit(-1.0)), 4).alias("s"))
     grid = grid.agg(F.avg("y").alias("y"), F.count("*").alias("n")).toPandas().sort_values("s")  # 30,001 rows at most
+    drop(train)
     if len(grid):
         model.knots = grid.s.to_numpy(float)
         model.values = isotonic(model.knots, grid.y.to_numpy(float), grid.n.to_numpy(float))
     return model
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, learn=None, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """Per row of ``docs``: its columns, ``score`` (0 to 1, higher is better) and
-    ``predicted`` (1 from ``threshold`` on).
+def score_documents(docs: DataFrame, labels: DataFrame, learn=None, threshold: float = THRESHOLD, sample: int = SAMPLE, columns: list[str] | None = None, **options) -> DataFrame:
+    """Per row of ``docs``: its columns, or those named, then ``score`` (0 to 1, higher is better) and
+    ``predicted`` (1 from ``threshold`` on). Callers whose rows have columns of these names
+    rename them first.
 
     ``labels (doc_id, quality)`` are learnt from where the condition ``learn`` on
     ``doc_id`` holds (all by default); rows with a null or other than 0 or 1 are
-    left out, and of several labels for an id the greatest counts. Without any label
-    the score is 0.5. A null or empty text has statistics of zero and is scored so.
+    left out, and of several labels for an id the greatest counts. Of more than ``sample``
+    labels about that many are learnt from, chosen by a hash of the id. Without any label
+    the score is 0.5. A null or empty text has statistics of zero and is scored so. Rows
+    that repeat each other are scored each for itself, and learnt from as often.
     """
     spark = docs.sparkSession
     ship(spark)
-    rest = [c for c in docs.columns if c != "text"]
-    extra = [F.col(c).alias(f"_{i}") for i, c in enumerate(rest)]
-    base = docs.select(keyed_key(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra, *([F.col("text").alias("_text")] if options.pop("with_text", False) else []))
-    kept = [f for f in base.schema.fields if f.name not in ("k", "text")]
-    schema = "k long, x array<double>"
-    stats = keyed(docs).mapInArrow(_stats, schema)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("k")
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     known = labels.where("quality in (0, 1) and doc_id is not null")
     if learn is not None:
         known = known.where(learn)
-    known = known.groupBy(F.col("doc_id").cast("long").alias("k")).agg(F.max("quality").cast("int").alias("y"))
-    saved = save(stats, "statistics") if not any(f.name == "_text" for f in kept) else None
-    model = fit((saved if saved is not None else stats).join(known, "k"), **options)
+    known = save(known.groupBy(F.col("doc_id").cast("long").alias("k")).agg(F.max("quality").cast("int").alias("y")), "labels")
+    total = known.count()
+    if total > sample:
+        known = known.where(F.pmod(F.xxhash64("k", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * sample / total))
+    # About ``sample`` rows of two numbers at most: broadcast, so texts stay where they are.
+    train = docs.select(key, text).join(F.broadcast(known), "k").select("k", "text", "y")
+    model = fit(train.mapInArrow(_stats, "k long, x array<double>, y int"), **options)
     shared = spark.sparkContext.broadcast(model)
+    names = docs.columns if columns is None else columns
+    own = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)]
+    wide = docs.select(text, *own)
+    fields = T.StructType([*wide.schema.fields[1:], T.StructField("score", T.DoubleType())])
 
-    def score(x: np.ndarray) -> np.ndarray:
-        return shared.value.score(x) if shared.value is not None else np.full(len(x), 0.5)
-
-    if saved is not None:
-
-        def run(batches):
-            for batch in batches:
-                s = score(_matrix(batch, 1)) if batch.num_rows else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], ["k", "score"])
-
-        out = saved.mapInArrow(run, "k long, score double")
-        return out.select(doc_id(), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
-
-    from pyspark.sql import types as T
-
-    fields = T.StructType([*kept, T.StructField("score", T.DoubleType())])
-
-    def both(batches):
+    def run(batches):
+        model = shared.value
         for batch in batches:
             for b in slices(batch):
-                s = score(statistics(b.column(1)))
-                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(2, b.num_columns)], pa.array(s)], [*b.schema.names[2:], "score"])
-
-    out = base.mapInArrow(both, fields)
-    names = [F.col(f"_{i}").alias(c) for i, c in enumerate(rest)]
-    by_name = dict(zip(rest, names)) | {"text": F.col("_text").alias("text")}
-    return out.select(*[by_name[c] for c in docs.columns], "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
-
-
-def keyed_key():
-    from kvlog.llm.common import NULL_KEY
+                s = model.score(statistics(b.column(0))) if model is not None else np.full(b.num_rows, 0.5)
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s)], fields.names)
 
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("k")
+    out = wide.mapInArrow(run, fields)
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)], "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

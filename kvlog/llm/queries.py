@@ -37,7 +37,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kvlog.llm.quality import score_documents
 
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)) == 0
-    scored = score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), ~held)
+    scored = score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), ~held, columns=["doc_id"])
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
