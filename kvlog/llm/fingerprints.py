@@ -14,21 +14,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kvlog.llm.common import NULL_KEY, doc_id, keyed, save
+from kvlog.llm.common import NULL_KEY, doc_id, drop, keyed, save
 
 _FOLD = "java_method('com.ibm.icu.lang.UCharacter', 'foldCase', java_method('com.ibm.icu.text.Normalizer', 'compose', {0}, true), true)"
 
 
+_WHITE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
 def canonical(col: str) -> Column:
     """The canonical form. NFKC once more after folding, for folding can undo it. An
     ASCII text needs no normaliser: lower case is its folding."""
     plain = F.octet_length(col) == F.char_length(col)
     full = F.expr("java_method('com.ibm.icu.text.Normalizer', 'compose', " + _FOLD.format(f"`{col}`") + ", true)")
     folded = F.when(plain, F.lower(col)).otherwise(full)
-    return F.trim(F.regexp_replace(folded, r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+", " "))
+    # A single space stays as it is, which spares a replacement for every word.
+    return F.trim(F.regexp_replace(folded, rf"[{_WHITE}&&[^ ]][{_WHITE}]*| [{_WHITE}]+", " "))
 
 
-def digest(canon: str) -> tuple[Column, Column]:
+def digest(canon: str | Column) -> tuple[Column, Column]:
     """Two independent 64-bit halves: the hash runs on from a different seed in each."""
     return F.xxhash64(F.lit(1), canon), F.xxhash64(F.lit(2), canon)
 
@@ -74,7 +78,11 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     d = keyed(docs)
     n = F.char_length("text").cast("long")
-    halves = d.select("k", n.alias("n")).groupBy("k").agg(F.floor(F.max("n") / 2).alias("need"))
+    h1, h2 = digest("canon")
+    prints = save(d.withColumn("canon", canonical("text")).select("k", n.alias("n"), h1.alias("h1"), h2.alias("h2")), "prints")
+    # ``times``: rows of the id. A repeated id's digest is not known from the id alone.
+    one = prints.groupBy("k").agg(F.max("n").alias("n"), F.count("*").alias("times"), F.max("h1").alias("h1"), F.max("h2").alias("h2"))
+    halves = one.select("k", F.floor(F.col("n") / 2).alias("need"), "times", "h1", "h2")
     # The order of all ids, by ranges: each range looks ahead by itself, and a row for
     # each range carries the first id of the next. Ids alone are shuffled.
     ranged = halves.repartitionByRange("k").withColumn("part", F.spark_partition_id())
@@ -84,23 +92,26 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     first = F.min("head").over(Window.partitionBy())
     heads = heads.select("part", F.coalesce(F.lead("head").over(order), first).alias("after"))
     nexts = ids.withColumn("then", F.lead("k").over(Window.partitionBy("part").orderBy("k")))
-    nexts = nexts.join(heads, "part").select("k", "need", F.coalesce("then", "after").alias("next"))
+    nexts = nexts.join(heads, "part").select("k", "need", "times", "h1", "h2", F.coalesce("then", "after").alias("next"))
     nexts = save(nexts, "next")
+    drop(ids)
 
-    rows = d.join(nexts.select("k", "next"), "k").select("k", "text", "next")
-    wanted = nexts.select(F.col("next").alias("k"), F.col("k").alias("for"), "need")
-    given = d.join(wanted, "k").select("for", F.expr("left(text, cast(need as int))").alias("tail"), F.col("text"))
-    h1, h2 = digest("canon")
-    given = given.withColumn("canon", canonical("text")).select("for", "tail", h1.alias("n1"), h2.alias("n2"))
+    # Digests that are known by id go along; only rows of a repeated id need their text's again.
+    own = nexts.select("k", "times", "h1", "h2")
+    wanted = nexts.select(F.col("next").alias("k"), F.col("k").alias("for"), "need").join(own, "k")
+    n1, n2 = (F.when(F.col("times") == 1, F.col(h)).otherwise(x) for h, x in zip(("h1", "h2"), digest(canonical("text"))))
+    given = d.join(wanted, "k").select("for", F.expr("left(text, cast(need as int))").alias("tail"), n1.alias("n1"), n2.alias("n2"))
     given = given.groupBy("for").agg(F.min(F.struct("tail", "n1", "n2")).alias("g")).select(F.col("for").alias("k"), "g.*")
-    both = rows.join(given, "k")
+    both = d.join(own, "k").join(given, "k")
     half = F.floor(n / 2).cast("int")
-    both = both.select("k", n.alias("n_chars"), "text", "n1", "n2", half.alias("half"), "tail")
-    both = both.select("k", "n_chars", "text", "n1", "n2", F.concat(F.expr("left(text, cast(n_chars as int) - half)"), F.expr("left(tail, half)")).alias("edited"))
-    both = both.select("k", "n_chars", "n1", "n2", F.sha2("edited", 256).alias("edited_sha256"), canonical("text").alias("canon"), canonical("edited").alias("other"))
-    a, b = digest("canon")
+    both = both.select("k", n.alias("n_chars"), "text", "n1", "n2", n1.alias("a"), n2.alias("b"), half.alias("half"), "tail")
+    both = both.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars as int) - half)"), F.expr("left(tail, half)")))
+    both = both.select("k", "n_chars", "n1", "n2", "a", "b", "text", F.sha2("edited", 256).alias("edited_sha256"), canonical("edited").alias("other"))
     e, f = digest("other")
-    both = both.select("k", "n_chars", "edited_sha256", "n1", "n2", a.alias("a"), b.alias("b"), e.alias("e"), f.alias("f"), (F.col("canon") == F.col("other")).alias("same"))
+    both = both.select("k", "n_chars", "edited_sha256", "n1", "n2", "a", "b", "text", "other", e.alias("e"), f.alias("f"))
+    # Equal digests are settled by the bytes.
+    equal = (F.col("a") == F.col("e")) & (F.col("b") == F.col("f"))
+    both = both.withColumn("same", F.when(equal, canonical("text") == F.col("other")).otherwise(False))
     return both.select(
         doc_id(),
         "n_chars",
