@@ -89,7 +89,7 @@ def licence_form(col: str, openings: list[str]) -> Column:
 
 def _form(df: DataFrame, col: str, openings: list[str]) -> DataFrame:
     df = df.withColumn("_lines", licence_form(col, openings)).withColumn("_canon", canonical("_lines"))
-    x = F.trim(F.regexp_replace("_canon", r"[^\p{L}\p{N}]+", " "))
+    x = F.trim(F.regexp_replace("_canon", r"(?! [\p{L}\p{N}])[^\p{L}\p{N}]+", " "))
     for a, b in SPELLINGS:
         x = F.regexp_replace(x, rf"\b{b}\b", a)
     return df.withColumn("_form", x).drop("_lines", "_canon")
