@@ -7,6 +7,7 @@ boundary is deleted, and only the ranks of the two neighbours are looked up agai
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
 import re
@@ -25,6 +26,8 @@ _NONE = 1 << 60
 #: Words that a worker remembers before it forgets all of them: for the library's ids,
 #: and with the texts that the own encoder returns.
 CACHE, TEXTS = 1_200_000, 400_000
+#: Bytes of a word past which scanning for the least rank costs more than a heap.
+LONG = 256
 
 # The contractions and classes of the public word-splitting patterns.
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -61,6 +64,8 @@ class Encoder:
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word of the byte alphabet."""
+        if len(word) > LONG:
+            return self._merge_long(word)
         parts = [*word[:-1], word[-1] + self.end]
         # bound: where each part begins; near: the rank of each part with the next.
         symbols, ranks = parts, self.ranks
@@ -78,6 +83,31 @@ class Encoder:
                 near[i] = ranks.get((symbols[i], symbols[i + 1]), _NONE)
         return [self.vocab[s] for s in symbols]
 
+    def _merge_long(self, word: str) -> list[int]:
+        """The same merges in the same order, the least rank taken from a heap."""
+        symbols, ranks = [*word[:-1], word[-1] + self.end], self.ranks
+        n = len(symbols)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        near = [ranks.get(pair, _NONE) for pair in zip(symbols, symbols[1:])] + [_NONE]
+        heap = [(r, i) for i, r in enumerate(near) if r != _NONE]
+        heapq.heapify(heap)
+        gone = [False] * n
+        while heap:
+            rank, i = heapq.heappop(heap)
+            if gone[i] or near[i] != rank:
+                continue
+            j = right[i]
+            symbols[i] += symbols[j]
+            gone[j], right[i] = True, right[j]
+            if right[i] < n:
+                left[right[i]] = i
+            for a in (left[i], i):
+                if a >= 0:
+                    near[a] = ranks.get((symbols[a], symbols[right[a]]), _NONE) if right[a] < n else _NONE
+                    if near[a] != _NONE:
+                        heapq.heappush(heap, (near[a], a))
+        return [self.vocab[s] for s, out in zip(symbols, gone) if not out]
+
     def piece(self, text: str) -> tuple[str, str, int]:
         """Of a text without white space: its ids and its decoded tokens, each joined by
         one space, and how many there are."""
@@ -93,9 +123,11 @@ class Encoder:
         for word in split_space(text):
             hit = known.get(word)
             if hit is None:
-                if len(known) >= TEXTS:
-                    known.clear()
-                hit = known[word] = self.piece(word)
+                hit = self.piece(word)
+                if len(word) <= LONG:
+                    if len(known) >= TEXTS:
+                        known.clear()
+                    known[word] = hit
             out.append(hit)
         return out
 
