@@ -1,18 +1,20 @@
 """Token shards: ids in wavelet matrices, one compressed file a shard.
 
 A shard's ids are kept as bit-planes from the highest bit down; below each plane the ids
-are split stably by its bit (zeros first). With ranks at every 512th bit a plane answers
-"how many ones before i" at once, and so one file gives back any token, counts an id in
-any stretch, and finds its occurrences, without being unpacked.
+are split stably by its bit (zeros first). A plane is cut into blocks that are compressed
+each for itself, and the file has the number of ones before each block. So one file gives
+back any token, counts an id in any stretch, and finds its occurrences, and opens only the
+blocks that this takes.
 
-File format (all little-endian): magic ``KVW1``, uint32 bits, uint64 tokens, uint64
+File format (all little-endian): magic ``KVW2``, uint32 bits, uint64 tokens, uint64
 documents, documents x int64 ids, (documents + 1) x uint64 starts, then for each plane:
-uint64 zeros, uint32 bytes, the packed bits (lowest bit first) compressed by zstd. The
-ranks are made on opening.
+uint64 zeros, uint32 blocks, (blocks + 1) x uint64 ones before, blocks x uint32 bytes, the
+blocks: packed bits (lowest bit first) compressed by zstd.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 
@@ -28,92 +30,114 @@ from kvlog.llm.text import slices
 
 #: A shard is closed after the slice of texts that brings it to this many tokens.
 TOKENS = 1 << 20
-_MAGIC = b"KVW1"
-_STEP = 512
+_MAGIC = b"KVW2"
+#: Bits in a block.
+_BLOCK = 1 << 18
+
+
+class Plane:
+    """Bits in compressed blocks, with rank and select for many places at once."""
+
+    def __init__(self, n: int, zeros: int, before: np.ndarray, bodies: list):
+        self.n, self.zeros, self.before, self.bodies = n, zeros, before, bodies
+        self.open: dict[int, np.ndarray] = {}
+
+    def block(self, b: int) -> np.ndarray:
+        """Ones before each bit of the block and after its last."""
+        if b not in self.open:
+            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.bodies[b]), np.uint8)
+            bits = np.unpackbits(raw, count=min(_BLOCK, self.n - b * _BLOCK), bitorder="little")
+            self.open[b] = np.concatenate([[0], np.cumsum(bits, dtype=np.int32)])
+        return self.open[b]
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        at = np.minimum(i // _BLOCK, len(self.bodies) - 1)
+        out = self.before[at].copy()
+        for b in np.unique(at).tolist():
+            own = at == b
+            out[own] += self.block(b)[i[own] - b * _BLOCK]
+        return out
+
+    def select(self, bit: int, j: np.ndarray) -> np.ndarray:
+        """Places of the j-th (from 0) such bits."""
+        starts = np.minimum(np.arange(len(self.before)) * _BLOCK, self.n)
+        many = self.before if bit else starts - self.before
+        at = np.searchsorted(many, j, "right") - 1
+        out = np.empty(len(j), np.int64)
+        for b in np.unique(at).tolist():
+            own, ones = at == b, self.block(b)
+            sums = ones if bit else np.arange(len(ones)) - ones
+            out[own] = b * _BLOCK + np.searchsorted(sums, j[own] - many[b], "right") - 1
+        return out
+
+    def bits(self) -> np.ndarray:
+        expand = zstandard.ZstdDecompressor()
+        return np.unpackbits(np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(expand.decompress(x), np.uint8) for x in self.bodies]]), count=self.n, bitorder="little").view(bool)
 
 
 class Wavelet:
-    """A wavelet matrix over ids of ``bits`` bits."""
+    """A wavelet matrix over ids of ``len(planes)`` bits."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.planes, self.zeros = n, planes, zeros  # planes: packed bits
-        self.ranks: list[np.ndarray | None] = [None] * len(planes)
+    def __init__(self, n: int, planes: list[Plane]):
+        self.n, self.planes = n, planes
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> Wavelet:
-        planes, zeros = [], []
+        if len(ids) and (int(ids.min()) < 0 or int(ids.max()) >> bits):
+            raise ValueError(f"an id does not fit in {bits} bits")
+        planes, squeeze = [], zstandard.ZstdCompressor(level=1)
         x = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         for level in range(bits - 1, -1, -1):
             one = (x & x.dtype.type(1 << level)) != 0
-            planes.append(np.packbits(one, bitorder="little"))
+            raw, starts = np.packbits(one, bitorder="little"), np.arange(0, len(x), _BLOCK)
+            sums = np.add.reduceat(one, starts, dtype=np.int64) if len(x) else np.zeros(0, np.int64)
+            bodies = [squeeze.compress(raw[at // 8 : (at + _BLOCK) // 8].tobytes()) for at in starts.tolist()]
             first = np.flatnonzero(~one)
-            zeros.append(len(first))
+            planes.append(Plane(len(x), len(first), np.concatenate([[0], np.cumsum(sums)]).astype(np.int64), bodies))
             x = np.concatenate([x.take(first), x.take(np.flatnonzero(one))])
-        return cls(len(ids), planes, zeros)
-
-    def _bit(self, p: int, i: int) -> int:
-        return int(self.planes[p][i >> 3]) >> (i & 7) & 1
-
-    def rank(self, p: int, i: int) -> int:
-        """Ones before position i of plane p."""
-        if self.ranks[p] is None:
-            many = np.bitwise_count(self.planes[p])
-            pad = np.zeros(-len(many) % (_STEP // 8), many.dtype)
-            self.ranks[p] = np.concatenate([[0], np.cumsum(np.concatenate([many, pad]).reshape(-1, _STEP // 8).sum(1, dtype=np.int64))])
-        block = i // _STEP
-        tail = self.planes[p][block * (_STEP // 8) : i >> 3]
-        out = int(self.ranks[p][block]) + int(np.bitwise_count(tail).sum())
-        if i & 7:
-            out += (int(self.planes[p][i >> 3]) & ((1 << (i & 7)) - 1)).bit_count()
-        return out
-
-    def select(self, p: int, bit: int, j: int) -> int:
-        """Position of the j-th (from 0) such bit of plane p."""
-        lo, hi = 0, self.n
-        while lo < hi:
-            mid = (lo + hi) // 2
-            ones = self.rank(p, mid + 1)
-            if (ones if bit else mid + 1 - ones) > j:
-                hi = mid
-            else:
-                lo = mid + 1
-        return lo
-
-    def access(self, i: int) -> int:
-        out = 0
-        for p in range(len(self.planes)):
-            bit, ones = self._bit(p, i), self.rank(p, i)
+        return cls(len(ids), planes)
+
+    def access(self, i) -> np.ndarray:
+        """The ids at these places."""
+        i = np.asarray(i, np.int64)
+        out = np.zeros(len(i), np.int64)
+        for p in self.planes:
+            ones = p.rank(i)
+            bit = p.rank(i + 1) > ones
             out = out << 1 | bit
-            i = self.zeros[p] + ones if bit else i - ones
+            i = np.where(bit, p.zeros + ones, i - ones)
         return out
 
-    def _narrow(self, value: int, lo: int, hi: int) -> tuple[int, int]:
-        for p in range(len(self.planes)):
-            a, b = self.rank(p, lo), self.rank(p, hi)
-            lo, hi = (self.zeros[p] + a, self.zeros[p] + b) if value >> (len(self.planes) - 1 - p) & 1 else (lo - a, hi - b)
+    def _narrow(self, value: int, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        for level, p in zip(range(len(self.planes) - 1, -1, -1), self.planes):
+            a, b = p.rank(lo), p.rank(hi)
+            lo, hi = (p.zeros + a, p.zeros + b) if value >> level & 1 else (lo - a, hi - b)
         return lo, hi
 
-    def count(self, value: int, lo: int = 0, hi: int | None = None) -> int:
-        """How often the id occurs in [lo, hi)."""
-        a, b = self._narrow(value, lo, self.n if hi is None else hi)
+    def count(self, value: int, lo, hi) -> np.ndarray:
+        """How often the id occurs in each [lo, hi)."""
+        if value >> len(self.planes) or not self.n:
+            return np.zeros(len(lo), np.int64)
+        a, b = self._narrow(value, np.asarray(lo, np.int64), np.asarray(hi, np.int64))
         return b - a
 
-    def locate(self, value: int, j: int) -> int:
-        """Position of the j-th occurrence of the id, from 0."""
-        i = self._narrow(value, 0, self.n)[0] + j
-        for p in range(len(self.planes) - 1, -1, -1):
-            bit = value >> (len(self.planes) - 1 - p) & 1
-            i = self.select(p, bit, i - self.zeros[p] if bit else i)
+    def locate(self, value: int, j) -> np.ndarray:
+        """Places of the j-th occurrences of the id, from 0."""
+        i = self._narrow(value, np.zeros(1, np.int64), np.full(1, self.n))[0] + np.asarray(j, np.int64)
+        for level, p in enumerate(reversed(self.planes)):
+            bit = value >> level & 1
+            i = p.select(bit, i - p.zeros if bit else i)
         return i
 
     def decode(self) -> np.ndarray:
         """All ids: the planes are undone from the lowest up."""
         x = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
-        for level, p in enumerate(range(len(self.planes) - 1, -1, -1)):
-            one = np.unpackbits(self.planes[p], count=self.n, bitorder="little").view(bool)
+        for level, p in enumerate(reversed(self.planes)):
+            one = p.bits()
             y = np.empty_like(x)
-            y[np.flatnonzero(~one)] = x[: self.zeros[p]]
-            y[np.flatnonzero(one)] = x[self.zeros[p] :] | x.dtype.type(1 << level)
+            y[np.flatnonzero(~one)] = x[: p.zeros]
+            y[np.flatnonzero(one)] = x[p.zeros :] | x.dtype.type(1 << level)
             x = y
         return x
 
@@ -121,15 +145,13 @@ class Wavelet:
 def pack(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray, bits: int) -> bytes:
     w = Wavelet.build(ids, bits)
     out = [_MAGIC, struct.pack("<IQQ", bits, len(ids), len(doc_ids)), doc_ids.astype("<i8").tobytes(), starts.astype("<u8").tobytes()]
-    squeeze = zstandard.ZstdCompressor(level=1)
-    for plane, zeros in zip(w.planes, w.zeros):
-        body = squeeze.compress(plane.tobytes())
-        out += [struct.pack("<QI", zeros, len(body)), body]
+    for p in w.planes:
+        out += [struct.pack("<QI", p.zeros, len(p.bodies)), p.before.astype("<u8").tobytes(), np.array([len(x) for x in p.bodies], "<u4").tobytes(), *p.bodies]
     return b"".join(out)
 
 
 def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, Wavelet]:
-    """Document ids, starts and the wavelet matrix of a shard file."""
+    """Document ids, starts and the wavelet matrix of a shard file, no block of it opened."""
     if data[:4] != _MAGIC:
         raise ValueError("not a token shard")
     bits, n, docs = struct.unpack_from("<IQQ", data, 4)
@@ -137,13 +159,23 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, Wavelet]:
     ids = np.frombuffer(data, "<i8", docs, at)
     starts = np.frombuffer(data, "<u8", docs + 1, at + 8 * docs).astype(np.int64)
     at += 16 * docs + 8
-    planes, zeros, expand = [], [], zstandard.ZstdDecompressor()
+    planes, view = [], memoryview(data)
     for _ in range(bits):
-        z, size = struct.unpack_from("<QI", data, at)
-        planes.append(np.frombuffer(expand.decompress(data[at + 12 : at + 12 + size], max_output_size=(n + 7) // 8 or 1), np.uint8))
-        zeros.append(z)
-        at += 12 + size
-    return ids, starts, Wavelet(n, planes, zeros)
+        zeros, blocks = struct.unpack_from("<QI", data, at)
+        before = np.frombuffer(data, "<u8", blocks + 1, at + 12).astype(np.int64)
+        at += 20 + 8 * blocks
+        ends = at + 4 * blocks + np.cumsum(np.frombuffer(data, "<u4", blocks, at), dtype=np.int64)
+        cuts = [at + 4 * blocks, *ends.tolist()]
+        planes.append(Plane(n, zeros, before, [view[a:b] for a, b in zip(cuts, cuts[1:])]))
+        at = cuts[-1]
+    return ids, starts, Wavelet(n, planes)
+
+
+def id_bits(vocabulary: str, end: int = 0) -> int:
+    """Bits that hold every id of a tokenizers file, and the end id."""
+    with open(vocabulary, encoding="utf-8") as f:
+        spec = json.load(f)
+    return max(1, max([end, *spec["model"]["vocab"].values(), *[t["id"] for t in spec["added_tokens"]]]).bit_length())
 
 
 def _write(vocabulary: str, end: int, bits: int, most: int):
@@ -176,27 +208,31 @@ def _write(vocabulary: str, end: int, bits: int, most: int):
     return run
 
 
-def write_shards(docs: DataFrame, vocabulary: str, end: int = 0, bits: int = 16, tokens: int = TOKENS) -> DataFrame:
-    """Write all ids in ascending ``doc_id`` order, ``end`` after each document.
+def write_shards(docs: DataFrame, vocabulary: str, end: int = 0, bits: int | None = None, tokens: int = TOKENS) -> DataFrame:
+    """Write all ids in ascending ``doc_id`` order, ``end`` after each document. Ids have
+    the bits that the vocabulary takes; with fewer asked for, an id that doesn't fit fails.
 
     Returns the saved table of shard files ``part, seq, tokens, file``; the order of
     shards is that of ``(part, seq)``. The files are written by Spark's own writer, which
     keeps one finished copy of each task's output.
     """
     ship(docs.sparkSession)
+    bits = id_bits(vocabulary, end) if bits is None else bits
     ranged = keyed(docs).repartitionByRange("k", F.xxhash64("text")).sortWithinPartitions("k", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
     return save(ranged.mapInArrow(_write(vocabulary, end, bits, tokens), "part int, seq int, tokens long, file binary"), "shards")
 
 
-def read_shards(shards: DataFrame, with_ids: bool = False) -> DataFrame:
+def read_shards(shards: DataFrame, with_ids: bool = False, end: int = 0) -> DataFrame:
     """Per document, from the shard files: ``doc_id, start`` (ids of all documents before
-    it), ``n_tokens, ids_crc32`` and, with ``with_ids``, ``ids``."""
+    it), ``n_tokens, ids_crc32``; ``first_id``, read by access, ``n_ends``, how often the
+    end id occurs in it, by ranks, and ``last_end``, the place of the last such id among all
+    ids, found by select; with ``with_ids``, ``ids``."""
     # Shards before a part: sums for each part, then one row a part is ordered.
     parts = shards.groupBy("part").agg(F.sum("tokens").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     own = F.sum("tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("tokens")
     base = shards.select("part", "seq", "tokens").withColumn("own", own).join(before, "part").select("part", "seq", (F.col("own") + F.col("base")).alias("base"))
-    schema = "part int, seq int, k long, at long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = "part int, seq int, k long, at long, n_tokens long, ids_crc32 long, first_id int, n_ends long, last_end long" + ", ids array<int>" * with_ids
 
     def run(batches):
         for batch in batches:
@@ -208,11 +244,13 @@ def read_shards(shards: DataFrame, with_ids: bool = False) -> DataFrame:
                 n = len(keys)
                 cols = [pa.array([batch.column(i)[row].as_py()] * n, pa.int32()) for i in (0, 1)]
                 cols += [pa.array(keys), pa.array(starts[:-1]), pa.array(np.diff(starts)), pa.array(crc, pa.int64())]
-                names = ["part", "seq", "k", "at", "n_tokens", "ids_crc32"]
+                ends = w.count(end, np.zeros(n, np.int64), starts[1:])
+                cols += [pa.array(w.access(starts[:-1]), pa.int32()), pa.array(np.diff(ends, prepend=0)), pa.array(w.locate(end, ends - 1))]
+                names = ["part", "seq", "k", "at", "n_tokens", "ids_crc32", "first_id", "n_ends", "last_end"]
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     out = shards.select("part", "seq", "file").mapInArrow(run, schema).join(base, ["part", "seq"])
-    return out.select(doc_id(), (F.col("at") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
+    return out.select(doc_id(), (F.col("at") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", "first_id", "n_ends", (F.col("last_end") + F.col("base")).alias("last_end"), *(["ids"] if with_ids else []))
