@@ -9,7 +9,9 @@ whose part occurs in two documents go to the next level, which is twice as long
 ``repeats`` goes on doubling from there until no candidate survives.
 
 Every step is a shuffle on 64-bit hashes with sums formed before it, so a passage
-that a third of all documents share costs one row for each task and window.
+that a third of all documents share costs one row for each task and window. The windows
+that remain are compared once more with a hash of their bytes that is made another way,
+128 bits in all, before a word is removed.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,10 +97,40 @@ def _candidates(window: int, part: int, sampled: bool):
     return run
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
+def _exact(window: int):
+    """The listed windows of each text, once each, with a hash of their words' bytes."""
+
+    def run(batches):
+        for batch in batches:
+            for b in slices(batch):
+                w = words(b.column(1))
+                g, at = grams(w, window)
+                owner = np.repeat(np.arange(b.num_rows), np.diff(at))
+                i = np.flatnonzero(_found(b.column(2), owner, g))
+                order = i[np.lexsort((g[i], owner[i]))]
+                new = np.ones(len(order), bool)
+                new[1:] = (g[order[1:]] != g[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])
+                i = order[new]
+                # All words with one space after each, so that a window is one stretch of bytes.
+                size = w.end - w.start + 1
+                to = np.cumsum(size)
+                line = np.full(int(size.sum()), 32, np.uint8)
+                place = np.arange(len(line)) - np.repeat(to - size, size)
+                inside = place < np.repeat(size - 1, size)
+                line[inside] = w.data[(np.repeat(w.start, size) + place)[inside]]
+                raw, word = line.tobytes(), w.at[owner[i]] + i - at[owner[i]]
+                lo, hi = (to - size)[word].tolist(), to[word + window - 1].tolist()
+                digest = np.array([xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(lo, hi)], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(g[i])), pa.array(signed(digest)), pa.array(b.column(0).to_numpy()[owner[i]])], ["h", "g", "k"])
+
+    return run
+
+
+def _repeated(rows: DataFrame, *by: str) -> DataFrame:
     """Hashes that occur in two documents at least, with the first of them."""
-    low = rows.groupBy("h").agg(F.min("k").alias("first"), F.max("k").alias("last"))
-    return low.where("first < last").select("h", "first")
+    by = by or ("h",)
+    low = rows.groupBy(*by).agg(F.min("k").alias("first"), F.max("k").alias("last"))
+    return low.where("first < last").select(*by, "first")
 
 
 def _level(docs: DataFrame, rows: DataFrame, repeated: DataFrame, window: int, part: int, sampled: bool, name: str) -> DataFrame:
@@ -189,8 +222,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     names = list(docs.columns) if with_text else ["doc_id"]
     rest = [F.col(c).alias(f"_{i}") for i, c in enumerate(names)]
     wide = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *rest)
-    rows, known = _windows(keyed(docs), window)
-    later = rows.join(known, "h").where("k > first").groupBy("k").agg(F.collect_set("h").alias("hs"))
+    short = keyed(docs)
+    rows, known = _windows(short, window)
+    listed = rows.join(known.select("h"), "h").groupBy("k").agg(F.collect_set("h").alias("hs"))
+    exact = save(short.join(listed, "k").select("k", "text", "hs").mapInArrow(_exact(window), "h long, g long, k long"), "repeat-exact")
+    drop(rows, known)
+    later = exact.join(_repeated(exact, "h", "g"), ["h", "g"]).where("k > first").groupBy("k").agg(F.collect_set("h").alias("hs"))
     joined = wide.join(later, "k", "left").select("k", "text", "hs", *[f"_{i}" for i in range(len(names))])
     kinds = [f for f in joined.schema.fields if f.name not in ("k", "text", "hs")]
     added = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("kept", T.StringType())][: 4 if with_text else 3]
