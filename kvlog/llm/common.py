@@ -12,9 +12,12 @@ Conventions that every operator follows:
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,12 +35,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers find this package when it is not installed."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if _ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
+    """Send this package, compiled, to the Python workers; they need not have it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    at = tempfile.mkdtemp(prefix="kvlog-")  # the driver serves it to executors as they come
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
+    path = os.path.join(at, "kvlog-package.zip")
+    with zipfile.PyZipFile(path, "w") as z:
+        z.writepy(os.path.join(_ROOT, "kvlog"))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -100,10 +112,12 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Remove a table made by ``save`` that nothing reads any more."""
-    path = getattr(df, "_kvlog_path", None)
-    if path is not None:
+def drop(*tables: DataFrame) -> None:
+    """Remove tables made by ``save`` that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_kvlog_path", None)
+        if path is None:
+            continue
         jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)

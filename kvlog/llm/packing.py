@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvlog.llm.bpe import Library, made
-from kvlog.llm.common import doc_id, keyed, save, ship
+from kvlog.llm.common import doc_id, drop, keyed, save, ship
 from kvlog.llm.text import slices
 
 CAPACITY = 4096
@@ -185,7 +185,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, island
         rows = todo.select(deal, F.struct("length", "k", "piece", "start", "ids_crc32").alias("item"))
         sets = save(rows.groupBy("grp").agg(F.sort_array(F.collect_list("item")).alias("items")), "groups")
         best = None
-        for epoch in range(epochs if n > 0 else 0):
+        for epoch in range(epochs):
             start = sets.select("grp", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "items")
             if best is None:
                 none = F.lit(None).cast("binary")
@@ -195,12 +195,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, island
                 elite = best.select("grp", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("bins").alias("elite"))
                 start = start.join(own, ["grp", "island"]).join(elite, ["grp", "island"]).select("grp", "island", "items", "own", "elite")
             start = start.repartition(F.col("grp"), F.col("island"))
-            best = save(start.mapInArrow(_evolve(capacity, epoch, POPULATION, CHILDREN), "grp long, island int, used long, squares double, bins binary"), "islands")
+            before, best = best, save(start.mapInArrow(_evolve(capacity, epoch, POPULATION, CHILDREN), "grp long, island int, used long, squares double, bins binary"), "islands")
+            if before is not None:
+                drop(before)
         top = best.groupBy("grp").agg(F.max(F.struct("used", "squares", "island", "bins")).alias("top"))
         placed = sets.join(top, "grp").select("grp", "items", "top.bins").mapInArrow(
             _place(capacity, rounds, n == 1), "length long, k long, piece int, start long, ids_crc32 long, sequence_id long, offset long, again boolean"
         )
         placed = save(placed, "placed")
+        drop(sets, best)
         done.append(placed.where("not again").drop("again"))
         todo = placed.where("again").select("length", "k", "piece", "start", "ids_crc32")
         total, rounds = (todo.count() if n > 1 else 0), rounds + 1

@@ -35,12 +35,12 @@ BLOCK, LEAST = 60_000, 30
 def bands_for(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
     """(bands, rows): the most rows a band, hence the fewest false candidates, such
     that a pair at the threshold shares a band with probability ``recall`` and no more
-    than ``most`` hashes are needed (one row a band if nothing else fits)."""
+    than ``most`` hashes are needed. Where that many don't do, one row a band, and as many
+    bands as it takes."""
     for rows in range(16, 0, -1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)) if threshold < 1 else 1
-        if bands * rows <= most:
+        bands = math.ceil(math.log1p(-recall) / math.log1p(-(threshold**rows))) if threshold < 1 else 1
+        if bands * rows <= most or rows == 1:
             return bands, rows
-    return most, 1
 
 
 def _sets(w, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +240,8 @@ def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     tied = components(member.join(bucket, "band").where("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v")))
     comp = tied.select(F.col("u").alias("rep"), F.col("v").alias("comp")).unionByName(tied.select(F.col("v").alias("rep"), F.col("v").alias("comp")).distinct())
     one = sets.groupBy("rep").agg(F.max("copies").alias("copies"), F.sum(F.greatest("size", F.lit(LEAST))).alias("size"))
-    comp = save(comp.join(one, "rep"), "groups")
+    comp = grouped = save(comp.join(one, "rep"), "groups")
+    drop(tied, bucket)
     cut = comp.groupBy("comp").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / block)).cast("int").alias("blocks"))
     comp = comp.join(cut, "comp").select(F.col("rep").alias("k"), "comp", "blocks", "copies")
     full = docs.join(comp.hint("merge"), "k").select("k", "text", "comp", "blocks", "copies").mapInArrow(_hashes(n), "k long, comp long, blocks int, copies long, grams binary")
@@ -249,10 +250,12 @@ def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     full = full.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "k", "grams", "copies", "own")
     found = full.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_verify(threshold), "u long, v long, links long")
     found = save(found, "links")
+    drop(grouped)
     final = components(found.where("links = 0").select("u", "v"))
     links = found.where("links > 0").groupBy("u").agg(F.sum("links").alias("links"))
     known = sets.select("d1", "d2", "rep", "copies").join(final.select(F.col("u").alias("rep"), F.col("v").alias("label")), "rep", "left")
     known = save(known.join(links.select(F.col("u").alias("rep"), "links"), "rep", "left"), "known")
+    drop(sets, final, found)
     out = sketch.select("k", "d1", "d2").join(known, ["d1", "d2"])
 
     def id_of(c):
