@@ -93,6 +93,8 @@ def test_similar(docs, empty, rows):
     assert {back(r.doc_id): back(r.class_id) for r in got} == label
     assert len(got) == len(rows) and {back(r.doc_id): r.n_links for r in got} == {i: links[i] for i in ids}
     assert similar.similar_documents(empty).count() == 0
+    few, one = similar.bands_for(0.05, 0.9999)
+    assert 1 - (1 - 0.05**one) ** few >= 0.9999
     bands, per = similar.bands_for(0.8, 0.9999)
     assert 1 - (1 - 0.8**per) ** bands >= 0.9999 and bands * per <= 128
 
@@ -165,7 +167,14 @@ def test_quality(spark, empty):
     assert sum(r.predicted == int(r.doc_id % 4 > 0) for r in held) >= 0.97 * len(held)
     assert {r.score for r in quality.score_documents(d, y.where("false")).collect()} == {0.5}
     assert quality.score_documents(empty, y).count() == 0
-    assert quality.score_documents(d, y, with_text=True).columns == ["doc_id", "text", "score", "predicted"]
+    both = quality.score_documents(d, y)
+    assert both.columns == ["doc_id", "text", "score", "predicted"] and {(r.doc_id, r.text) for r in both.collect()} == {(i, t) for i, t, _ in rows}
+    assert quality.score_documents(d, y, columns=["doc_id"]).columns == ["doc_id", "score", "predicted"]
+    twice = quality.score_documents(d.unionByName(d.limit(3)), y, F.col("doc_id") % 5 != 0).collect()
+    assert len(twice) == len(rows) + 3
+    for few in (1, 2, 3, 7, 9):  # the same path at any number of labels
+        some = quality.score_documents(d, y.where(F.col("doc_id") < few)).collect()
+        assert len(some) == len(rows) and all(0 <= r.score <= 1 for r in some)
     assert quality.isotonic(np.array([1, 2, 3.0]), np.array([1, 0, 2.0]), np.ones(3)).tolist() == [0.5, 0.5, 2.0]
 
 
@@ -297,7 +306,7 @@ def test_language_against_one_customer_at_a_time(spark):
     texts += [" ".join(rng.choices(vocab, k=6)) for _ in range(6)] + ["", "ab zz ab"]
     rows = list(enumerate(texts))
     held = {i for i, _ in rows if i >= 30}
-    got = {r.doc_id: r.score for r in language.language_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.col("doc_id") < 30, burn_in=5, samples=15, shards=3).collect()}
+    got = {r.doc_id: r.score for r in language.language_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.col("doc_id") < 30, burn_in=3, samples=9, shards=3).collect()}
     pairs = lambda t: list(zip(["<s>", *t.split()], [*t.split(), "</s>"]))
     train = [p for i, t in rows if i not in held for p in pairs(t)]
     n = collections.Counter(collections.Counter(train).values())
@@ -388,6 +397,30 @@ def test_top_k(spark):
         order = [j for j in np.lexsort((np.arange(300), -s)) if j != me][:7]
         assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == me] == [(j, int(s[j])) for j in order]
     assert nearest.top_k(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
+    every = nearest.top_k(df, F.col("vec_id") % 20 == 0, k=7, shard=64, boxes=0).collect()
+    assert sorted(map(tuple, every)) == sorted(map(tuple, got))
+
+
+def test_top_k_of_great_components(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(np.float32(v)) for v in rng.normal(size=4) * 10.0 ** rng.choice([0, 4, 9, 18, 30])]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole = {i: [math.floor(64 * v) for v in x] for i, x in rows}
+    got = nearest.top_k(df, F.col("vec_id") % 20 == 0, k=9, shard=32).collect()
+    for me in range(0, 120, 20):
+        order = sorted((-sum(a * b for a, b in zip(whole[me], x)), i) for i, x in whole.items() if i != me)[:9]
+        want = [(i, max(min(-s, 2**63 - 1), -(2**63))) for s, i in order]
+        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == me] == want
+
+
+def test_far_boxes_are_not_searched():
+    x = np.arange(20.0).reshape(10, 2)
+    box = lambda shard, x: type("Box", (), {"dim": 2, "shard": shard, "box_low": x.min(0).tolist(), "box_high": x.max(0).tolist()})()
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([2], pa.int32()), pa.array([0]), pa.array([5]), pa.array([[1.0, 1.0]]), pa.array([30])], ["dim", "own", "vec_id", "v", "kth"])
+    out = list(nearest._send([box(0, x), box(1, x), box(2, -x), box(-1, -x)])([batch]))
+    assert out[0].column("shard").to_pylist() == [1, -1]
 
 
 def test_shards(docs, empty, rows):
@@ -401,11 +434,92 @@ def test_shards(docs, empty, rows):
         ids = [*tok.encode(texts[common.NULL_KEY if r.doc_id is None else r.doc_id], add_special_tokens=False).ids, 0]
         assert r.start == at and r.ids == ids and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         at += len(ids)
+        assert (r.first_id, r.n_ends, r.last_end) == (ids[0], ids.count(0), at - 1)
     assert shards.read_shards(shards.write_shards(empty, BYTE)).count() == 0
-    ids = np.random.default_rng(0).integers(0, 300, 3000)
-    _, _, w = shards.unpack(shards.pack(np.array([1]), np.array([0, 3000]), ids, 16))
-    assert (w.decode() == ids).all() and [w.access(i) for i in (0, 1500, 2999)] == ids[[0, 1500, 2999]].tolist()
-    assert w.count(7) == (ids == 7).sum() and w.count(7, 10, 900) == (ids[10:900] == 7).sum() and w.locate(7, 3) == np.flatnonzero(ids == 7)[3]
+
+
+@pytest.mark.parametrize("block, n", [(64, 3000), (1 << 18, 3000), (64, 64), (64, 1), (64, 0)])
+def test_wavelets(monkeypatch, block, n):
+    monkeypatch.setattr(shards, "_BLOCK", block)
+    ids = np.random.default_rng(0).integers(0, 300, n)
+    keys, starts, w = shards.unpack(shards.pack(np.array([1, 2]), np.array([0, 1, n]), ids, 9))
+    assert keys.tolist() == [1, 2] and starts.tolist() == [0, 1, n] and not any(p.open for p in w.planes)
+    every = np.arange(n)
+    assert (w.decode() == ids).all() and (not n or (w.access(every) == ids).all())
+    for v in (0, 7, 299, 511, 5000):
+        at = np.flatnonzero(ids == v)
+        if len(at):
+            assert (w.locate(v, np.arange(len(at))) == at).all()
+        lo, hi = np.array([0, n // 3, n]), np.array([n, n // 2, n])
+        assert w.count(v, lo, hi).tolist() == [int((ids[a:b] == v).sum()) for a, b in zip(lo, hi)]
+    with pytest.raises(ValueError):
+        shards.pack(np.array([1]), np.array([0, 1]), np.array([512]), 9)
+
+
+def test_bits_follow_the_vocabulary(spark, tmp_path):
+    import json
+
+    spec = json.load(open(BYTE, encoding="utf-8"))
+    spec["added_tokens"].append({**spec["added_tokens"][0], "id": 70_000, "content": "<|far|>"})
+    (tmp_path / "far.json").write_text(json.dumps(spec))
+    assert shards.id_bits(BYTE) == 16 and shards.id_bits(str(tmp_path / "far.json")) == 17
+    df = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    assert [r.ids[-1] for r in shards.read_shards(shards.write_shards(df, BYTE, end=70_000), True, 70_000).collect()] == [70_000] * 2
+    with pytest.raises(Exception, match="does not fit"):
+        shards.write_shards(df, BYTE, end=70_000, bits=16)
+
+
+def test_long_words():
+    import time
+
+    tok, e = Tokenizer.from_file(WORD), bpe.Encoder(WORD)
+    rng = random.Random(4)
+    for n in (255, 256, 257, 400, 3000):
+        t = "".join(rng.choices("abcdefghij", k=n)) + " " + "a" * n
+        assert e.ids(t) == tok.encode(t, add_special_tokens=False).ids
+    begin = time.time()
+    t = "".join(rng.choices("etaoin", k=200_000))
+    assert e.ids(t) == tok.encode(t, add_special_tokens=False).ids and time.time() - begin < 30
+
+
+def test_crossover_beats_best_fit():
+    """Triples that fill bins wholly, which best fit in falling order misses."""
+    rng = np.random.default_rng(3)
+    a = rng.integers(24, 37, 40)
+    b = np.array([rng.integers(26, 100 - x - 25) for x in a])
+    sizes = np.concatenate([a, b, 100 - a - b])
+    first = packing.Island(sizes, 100, 0)
+    alone = first.loads(first.seed(0.0))
+    assert first.least == 40 and len(alone) > 41
+    seeds = [first.seed(0.05 * i) for i in range(6)]
+    best_seed = min(len(first.loads(x)) for x in seeds)
+    best = packing.Island(sizes, 100, 1).evolve(seeds, 6, 3000)
+    loads = first.loads(best)
+    assert len(loads) < min(best_seed, len(alone)) and loads.max() <= 100 and loads.sum() == sizes.sum()
+    # An elite that another island sends takes part, and is not lost.
+    assert len(first.loads(packing.Island(sizes, 100, 2).evolve([seeds[0], best], 2, 5))) <= len(loads)
+
+
+def test_elites_arrive(spark, monkeypatch):
+    """After an epoch each island works on its own solution and its neighbour's elite."""
+    seen = []
+
+    def save(df, name):
+        out = common.save(df, name)
+        if name == "islands":
+            seen.append({(r.grp, r.island): (r.used, r.squares) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(packing, "save", save)
+    rng = random.Random(3)
+    two = [(a, rng.randint(26, 74 - a)) for a in (rng.randint(24, 36) for _ in range(30))]
+    rows = [(i, j, 0, x, 0) for i, (a, b) in enumerate(two) for j, x in enumerate((a, b, 100 - a - b))]
+    cut = common.save(spark.createDataFrame(rows, "k long, piece int, start long, length long, ids_crc32 long"), "p")
+    packing.pack(cut, 100, 1000).count()
+    rank = lambda x: (-x[0], x[1])
+    assert len(seen) == packing.EPOCHS and len(seen[0]) == packing.ISLANDS
+    for (grp, island), x in seen[1].items():
+        assert rank(x) >= max(rank(seen[0][grp, island]), rank(seen[0][grp, (island - 1) % packing.ISLANDS]))
 
 
 def test_licences(spark):
@@ -486,3 +600,61 @@ def test_pipeline_keeps_different_texts_of_one_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = collections.Counter((r.doc_id, r.text) for r in P.near_duplicates(spark, docs, "").collect())
     assert got == collections.Counter([(None, a), (None, b), (7, "one text of this id"), (7, "and quite another text"), (None, None)])
+
+
+def test_pipeline_with_clashing_columns(spark, tmp_path):
+    """Every name that an operator uses, nulls, empty texts and repeated rows."""
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    names = "score predicted kept n_words n_removed kept_sha256 _row _own_1 k x y hs h g class_id set_id n_links length piece start sequence_id offset grp".split()
+    odd = spark.createDataFrame([(None, None, None), (900_001, "", 0), (900_001, "", 0), (900_002, None, 0)], "doc_id long, text string, n_chars long")
+    wide = docs.unionByName(odd, allowMissingColumns=True).select("*", *[F.lit(9).alias(n) for n in names])
+    rows = [(r.doc_id, r.text) for r in wide.collect()]
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, wide, sf)
+        got = out.collect()
+        assert out.columns == wide.columns and all(r[n] == 9 for r in got for n in names)
+        if name == "repeated_passages":
+            want = collections.Counter((i, d) for i, _, _, d in _remove(rows))
+            back = lambda v: common.NULL_KEY if v is None else v
+            assert collections.Counter((back(r.doc_id), hashlib.sha256(" ".join(_split(r.text or "")).encode()).hexdigest()) for r in got) == want
+        else:
+            assert {(r.doc_id, r.text) for r in got} <= set(rows)
+        if name == "near_duplicates":
+            assert sum(not _split(r.text or "") for r in got) == 1
+    assert P.packing(spark, wide, sf).select("doc_id", "piece").count() == len(rows)
+    none = wide.where("false")
+    for _, stage in P.STAGES:
+        assert stage(spark, none, sf).count() == 0
+
+
+def test_texts_longer_than_a_slice(spark):
+    """Each operator on a text of more than two slices of bytes, beside short ones."""
+    rng = random.Random(6)
+    vocab = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 6))) for _ in range(3000)]
+    long = " ".join(rng.choices(vocab, k=2 * text.SLICE // 5 + 1000))
+    assert len(long) > 2 * text.SLICE - 300_000
+    rows = [(1, long), (2, long + " end"), (3, "short one"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    words = len(long.split())
+    near = {r.doc_id: (r.class_id, r.n_links) for r in similar.similar_documents(df).collect()}
+    assert near == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
+    cut = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.remove_repeats(df).collect()}
+    assert cut == {1: (words, 0), 2: (words + 1, words), 3: (2, 0), 4: (0, 0)}
+    prints = {r.doc_id: (r.n_chars, r.near_next) for r in fingerprints.edited_fingerprints(df).collect()}
+    assert prints == {1: (len(long), 0.0), 2: (len(long) + 4, 0.0), 3: (9, 0.0), 4: (0, 0.0)}
+    y = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    assert quality.score_documents(df, y).count() == 4
+    assert {r.doc_id: r.licence for r in licences.find(df, licences.TEXTS).collect()} == dict.fromkeys((1, 2, 3, 4))
+    tok = Tokenizer.from_file(WORD)
+    ids = {i: tok.encode(t or "", add_special_tokens=False).ids for i, t in rows}
+    assert {r.doc_id: r.n_tokens for r in tokens.encode_documents(df, WORD).collect()} == {i: len(x) for i, x in ids.items()}
+    packed = packing.pack_documents(df, WORD).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in packed} == {i: len(x) + 1 for i, x in ids.items()}
+    byte = Tokenizer.from_file(BYTE)
+    read = {r.doc_id: r.n_tokens for r in shards.read_shards(shards.write_shards(df, BYTE)).collect()}
+    assert read == {i: len(byte.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in rows}
+    scored = {r.doc_id: (r.n_tokens, r.n_known) for r in language.language_scores(df, F.col("doc_id") < 2, 1, 1).collect()}
+    assert scored[1] == (words + 1, words + 1) and scored[2][0] == words + 2 and scored[4] == (1, 1)
