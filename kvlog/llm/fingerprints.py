@@ -41,29 +41,37 @@ def _hex(a: str, b: str) -> Column:
     return F.concat(F.lpad(F.lower(F.hex(a)), 16, "0"), F.lpad(F.lower(F.hex(b)), 16, "0"))
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def prints(docs: DataFrame) -> DataFrame:
+    """A saved row for each document: key, code points, and the halves of the digest."""
+    h1, h2 = digest("canon")
+    d = keyed(docs).withColumn("canon", canonical("text"))
+    return save(d.select("k", F.char_length("text").cast("long").alias("n"), h1.alias("h1"), h2.alias("h2")), "prints")
+
+
+def groups(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``doc_id, fingerprint, group_id, n_copies``: documents of equal canonical texts,
     compared byte by byte, share the least id among them.
 
-    Null, empty and blank texts are equal. Repeated rows count as copies.
+    Null, empty and blank texts are equal. Repeated rows count as copies. ``known``:
+    ``prints`` of the documents, where they are at hand.
     """
+    ids = prints(docs) if known is None else known
     d = keyed(docs).withColumn("canon", canonical("text"))
     h1, h2 = digest("canon")
     d = d.select("k", "canon", h1.alias("h1"), h2.alias("h2"))
-    ids = save(d.select("k", "h1", "h2"), "digests")
     # Bytes are compared inside equal buckets only. Each task sends the distinct texts it has,
     # so a text that very many documents share is never gathered.
     exact = d.groupBy("h1", "h2", "canon").agg(F.min("k").alias("low"), F.count("*").alias("n"))
     full = save(exact.groupBy("h1", "h2").agg(F.min("low").alias("low"), F.sum("n").alias("n"), F.count("*").alias("texts")), "buckets")
     cols = ["k", "h1", "h2", "low", "n"]
-    out = ids.join(full, ["h1", "h2"]).where("texts = 1").select(*cols)
+    out = ids.select("k", "h1", "h2").join(full, ["h1", "h2"]).where("texts = 1").select(*cols)
     mixed = full.where("texts > 1").select("h1", "h2")
     if not mixed.isEmpty():
         out = out.unionByName(d.join(mixed, ["h1", "h2"]).join(exact, ["h1", "h2", "canon"]).select(*cols))
     return out.select(doc_id(), _hex("h1", "h2").alias("fingerprint"), F.when(F.col("low") != NULL_KEY, F.col("low")).alias("group_id"), F.col("n").alias("n_copies"))
 
 
-def edited_fingerprints(docs: DataFrame) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Fingerprints of all texts, of their edited texts, and their likeness.
 
     A text of n code points loses its last ``n // 2``; in their place come as many of
@@ -73,15 +81,12 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     Returns per row ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next``. The likeness of two exact fingerprints is 1 or 0. Null
-    texts count as empty. Null ids sort first.
+    texts count as empty. Null ids sort first. ``known``: ``prints`` of the documents.
     """
-    spark = docs.sparkSession
     d = keyed(docs)
     n = F.char_length("text").cast("long")
-    h1, h2 = digest("canon")
-    prints = save(d.withColumn("canon", canonical("text")).select("k", n.alias("n"), h1.alias("h1"), h2.alias("h2")), "prints")
     # ``times``: rows of the id. A repeated id's digest is not known from the id alone.
-    one = prints.groupBy("k").agg(F.max("n").alias("n"), F.count("*").alias("times"), F.max("h1").alias("h1"), F.max("h2").alias("h2"))
+    one = (prints(docs) if known is None else known).groupBy("k").agg(F.max("n").alias("n"), F.count("*").alias("times"), F.max("h1").alias("h1"), F.max("h2").alias("h2"))
     halves = one.select("k", F.floor(F.col("n") / 2).alias("need"), "times", "h1", "h2")
     # The order of all ids, by ranges: each range looks ahead by itself, and a row for
     # each range carries the first id of the next. Ids alone are shuffled.

@@ -23,12 +23,13 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from kvlog.llm.fingerprints import edited_fingerprints, groups
+    from kvlog.llm.fingerprints import edited_fingerprints, groups, prints
 
     docs = table(spark, sf_dir, "documents")
-    same = groups(docs).groupBy("doc_id", "fingerprint").agg(F.min("group_id").alias("group_id"), F.max("n_copies").alias("n_copies"))
+    known = prints(docs)
+    same = groups(docs, known).groupBy("doc_id", "fingerprint").agg(F.min("group_id").alias("group_id"), F.max("n_copies").alias("n_copies"))
     same = save(same, "copies").select(F.col("doc_id").alias("id"), F.col("fingerprint").alias("of"), "group_id", "n_copies")
-    out = edited_fingerprints(docs)
+    out = edited_fingerprints(docs, known)
     out = out.join(same, out.doc_id.eqNullSafe(same.id) & (out.fingerprint == same.of))
     return out.drop("id", "of")
 

@@ -91,7 +91,7 @@ class Wavelet:
         for level in range(bits - 1, -1, -1):
             one = (x & x.dtype.type(1 << level)) != 0
             raw, starts = np.packbits(one, bitorder="little"), np.arange(0, len(x), _BLOCK)
-            sums = np.add.reduceat(one, starts, dtype=np.int64) if len(x) else np.zeros(0, np.int64)
+            sums = np.array([np.count_nonzero(one[at : at + _BLOCK]) for at in starts.tolist()], np.int64)
             bodies = [squeeze.compress(raw[at // 8 : (at + _BLOCK) // 8].tobytes()) for at in starts.tolist()]
             first = np.flatnonzero(~one)
             planes.append(Plane(len(x), len(first), np.concatenate([[0], np.cumsum(sums)]).astype(np.int64), bodies))
