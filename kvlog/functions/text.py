@@ -31,9 +31,31 @@ def percent(s: Column) -> Column:
     return F.regexp_replace(s, "%", "").cast("double") / 100
 
 
+def scaled(x: Column, by: float) -> Column:
+    """Whole multiples of ``by``."""
+    return F.floor(x / by).cast("int")
+
+
+def share(x: Column) -> Column:
+    """A share as a percentage of two places."""
+    return F.format_string("%.2f%%", x * 100)
+
+
+def millions(x: Column) -> Column:
+    return F.concat(F.format_number(F.round(x / 1e6), 0), F.lit("M"))
+
+
+def in_angles(line: Column) -> Column:
+    """What stands from the first ``<`` to the last ``>``; null without both."""
+    return F.when(line.rlike("<.*>"), F.regexp_extract(line, "<(.*)>", 1))
+
+
+# Fixed value: the wording of the logs that are read.
+_LOG_LINE = r"(\d+) microseconds.*?(\d+) I/O operations"
+
+
 def micros_and_io(line: Column) -> tuple[Column, Column]:
-    pattern = r"(\d+) microseconds.*?(\d+) I/O operations"
-    got = lambda i: F.nullif(F.regexp_extract(line, pattern, i), F.lit("")).cast("long")
+    got = lambda i: F.nullif(F.regexp_extract(line, _LOG_LINE, i), F.lit("")).cast("long")
     return got(1), got(2)
 
 
@@ -43,7 +65,7 @@ def command(line: Column) -> Column:
     p = F.split(F.trim(line), r"\s+")
     op, n = p[0], F.size(p)
     num = lambda i: F.try_element_at(p, F.lit(i)).try_cast("int")
-    path = strip_quotes(F.trim(F.substring(F.trim(line), 2, 1_000_000)))
+    path = strip_quotes(F.trim(F.regexp_replace(F.trim(line), r"^\S", "")))
     a, b = num(2), num(3)
     fine = (
         (op == "p") & (n == 3) & a.isNotNull() & b.isNotNull() & (b != -2147483648)

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def get(pairs: DataFrame, n: int) -> DataFrame:
-    """By key: how many values, and the ``n`` least. Values are ranked before they are
-    gathered, so a hot key never meets in one row."""
-    from pyspark.sql import Window
-
-    counts = pairs.groupBy("k").agg(F.count("*").alias("found"))
-    few = pairs.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("v"))).where(F.col("r") <= n)
-    lists = few.groupBy("k").agg(F.array_sort(F.collect_list("v")).alias("vs"))
-    return counts.join(lists, "k", "left").select("k", "found", F.coalesce("vs", F.array().cast("array<int>")).alias("vs"))
+    """By key: how many values, and the ``n`` least, in order.
+
+    Equal pairs are counted first, task by task; then a key's values are ranked once each, and
+    of every value no more than ``n`` are listed. So a hot key costs its distinct values."""
+    each = pairs.groupBy("k", "v").agg(F.count("*").alias("c"))
+    rank = F.row_number().over(Window.partitionBy("k").orderBy("v"))
+    few = F.when(F.col("r") <= n, F.struct("v", F.least("c", F.lit(n)).cast("int").alias("c")))
+    by = each.withColumn("r", rank).groupBy("k").agg(F.sum("c").alias("found"), F.collect_list(few).alias("x"))
+    vs = F.flatten(F.transform(F.array_sort("x"), lambda x: F.array_repeat(x.v, x.c)))
+    return by.select("k", "found", F.slice(vs, 1, n).alias("vs"))
 
 
 def erase(pairs: DataFrame, keys: DataFrame) -> DataFrame:

@@ -19,15 +19,18 @@ def entries(log: DataFrame, size: int) -> DataFrame:
 
 
 def catalog(rows: DataFrame, capacity: int) -> DataFrame:
-    """A row for each run; level L holds 2**L runs, the newest in level 1. ``ord`` counts
-    runs of a level from the newest."""
+    """A row for each epoch as a run of its own, before any merge; level L holds 2**L of
+    them, the newest in level 1. ``ord`` counts epochs of a level from the newest. What the
+    policies make of the epochs is in ``tree``."""
     runs = rows.groupBy("run_id").agg(
         F.count("*").alias("n_entries"), F.min("k").alias("min_k"), F.max("k").alias("max_k"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq")
     )
-    last = F.max("run_id").over(Window.partitionBy())
-    runs = runs.withColumn("level", F.floor(F.log2(last - F.col("run_id") + 2)).cast("int"))
-    order = Window.partitionBy("level").orderBy(F.desc("run_id"))
-    return runs.withColumn("ord", (F.row_number().over(order) - 1).cast("long")).withColumn("cap_entries", F.lit(capacity).cast("long"))
+    # The newest epoch is one row beside all; levels and places follow by arithmetic.
+    age = F.col("_last") - F.col("run_id") + 2
+    runs = runs.crossJoin(F.broadcast(rows.agg(F.max("run_id").alias("_last"))))
+    runs = runs.withColumn("level", F.floor(F.log2(age)).cast("int"))
+    place = age - F.pow(F.lit(2.0), F.col("level")).cast("long")
+    return runs.withColumn("ord", place).withColumn("cap_entries", F.lit(capacity).cast("long")).drop("_last")
 
 
 def capacity(level: Column, buffer: int, fanout: int) -> Column:
@@ -79,11 +82,22 @@ def gaps(runs: DataFrame, share: float = 0.5) -> DataFrame:
     return best.select("level", "x.start", (F.col("x.start") + F.col("x.m")).alias("stop"), "x.gap_sum")
 
 
+def opened(runs: DataFrame, keys: DataFrame, width: int = 64, step: int = 16) -> DataFrame:
+    """``keys (k, ...)`` with each run that a point read of the key opens, when runs are pruned
+    by their key range. A run takes buckets of the least width that cuts its range into
+    ``step + 1`` at most; keys go to buckets of the widths taken, so it is an equi-join."""
+    size = F.col("max_k").cast("long") - F.col("min_k") + 1
+    widths = [width * step**i for i in range(10) if width * step**i < 2**33]
+    wide = F.lit(widths[-1])
+    for w in reversed(widths[:-1]):
+        wide = F.when(size <= w * step, w).otherwise(wide)
+    runs = runs.withColumn("_w", wide.cast("long"))
+    spread = runs.withColumn("_b", F.explode(F.sequence(F.floor(F.col("min_k") / F.col("_w")), F.floor(F.col("max_k") / F.col("_w")))))
+    taken = runs.agg(F.collect_set("_w").alias("_ws"))  # one row of ten numbers at most
+    asked = keys.crossJoin(F.broadcast(taken)).withColumn("_w", F.explode("_ws")).withColumn("_b", F.floor(F.col("k") / F.col("_w"))).drop("_ws")
+    return asked.join(spread, ["_w", "_b"]).where("k between min_k and max_k").drop("_w", "_b")
+
+
 def touched(runs: DataFrame, keys: DataFrame) -> DataFrame:
-    """How many runs each point read opens when runs are pruned by their key range. The
-    catalog is joined by ranges of keys cut at run bounds, never pair by pair."""
-    width = 64
-    spread = runs.select("run_id", "level", "min_k", "max_k", F.explode(F.sequence(F.floor(F.col("min_k") / width), F.floor(F.col("max_k") / width))).alias("b"))
-    asked = keys.withColumn("b", F.floor(F.col("k") / width))
-    hit = asked.join(spread, "b").where("k between min_k and max_k")
-    return hit.groupBy("level").agg(F.count("*").alias("io"))
+    """How many runs all point reads open, by level."""
+    return opened(runs, keys).groupBy("level").agg(F.count("*").alias("io"))

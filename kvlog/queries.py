@@ -18,6 +18,8 @@ from kvlog.operators import reads as Q
 from kvlog.operators import windows as W
 from kvlog.plans import log as L
 from kvlog.plans import runs as R
+from kvlog.plans import tree as T
+from kvlog.sources import files as S
 
 EPOCH, BUFFER, FANOUT = 1000, 1000, 2
 
@@ -151,7 +153,7 @@ def kv_hits_misses(spark, d):
     return g.crossJoin(r)  # one row each
 
 
-@query(f"WITH {HIT}, {DEL} SELECT 'PUTS' AS counter, count(*) AS n FROM log WHERE op = 'p' UNION ALL SELECT 'SUCC_GETS', count(*) FROM got WHERE vop = 'p' UNION ALL SELECT 'FAILED_GETS', count(*) FROM got WHERE vop IS NULL OR vop = 'd' UNION ALL SELECT 'RANGES', count(*) FROM log WHERE op = 'r' UNION ALL SELECT 'SUCC_DELS', count(*) FROM del WHERE op = 'd' AND succeeded UNION ALL SELECT 'FAILED_DELS', count(*) FROM del WHERE op = 'd' AND NOT succeeded")
+@query(f"WITH {HIT}, {DEL} SELECT 'PUTS' AS counter, count(*) AS n FROM log WHERE op = 'p' UNION ALL SELECT 'SUCC_GETS', count(*) FROM got WHERE vop = 'p' UNION ALL SELECT 'FAILED_GETS', count(*) FROM got WHERE vop IS NULL OR vop = 'd' UNION ALL SELECT 'RANGES', count(*) FROM log WHERE op = 'r' UNION ALL SELECT 'SUCC_DELS', count(*) FROM del WHERE op = 'd' AND succeeded UNION ALL SELECT 'FAILED_DELS', count(*) FROM del WHERE op = 'd' AND NOT succeeded UNION ALL SELECT 'LOADS', count(*) FROM log WHERE op = 'l'")
 def kv_eval_counters(spark, d):
     log = events_log(spark, d)
     return Q.counters(log, event_ranges(log))
@@ -192,12 +194,76 @@ def level_fill(spark, d):
     return R.fill(_runs(spark, d)[1], BUFFER, FANOUT)
 
 
-IO = f"{CAT}, io AS (SELECT level, count(*) AS io, CAST(sum(n_entries) AS BIGINT) AS us FROM cat GROUP BY level)"
+# A level holds FANOUT ** level flushes. What n flushes leave in tiers: from level to level
+# the flushes that moved on, less one, in whole groups.
+TREE = f"{ENT}, came_to AS (SELECT 1 AS level, CAST(1 AS BIGINT) AS size, max(run_id) + 1 AS n FROM ent UNION ALL SELECT level + 1, size * {FANOUT}, (n - 1) // {FANOUT} FROM came_to WHERE n > {FANOUT}), lev AS (SELECT level, size, ((n - 1) % {FANOUT}) + 1 AS have, n AS came FROM came_to), off AS (SELECT *, COALESCE(sum(have * size) OVER (ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, max(level) OVER () AS deepest FROM lev)"
+TREE = "RECURSIVE " + TREE
+
+
+def _tree_sql(policy: str) -> str:
+    one = {"TIERED": "false", "LEVELED": "true", "LAZY_LEVELED": "level = deepest"}[policy]
+    place = f"CASE WHEN {one} THEN 0 ELSE (age - start) // size END"
+    return f"""
+WITH {TREE},
+aged AS (SELECT *, run_id AS flush, max(run_id) OVER () - run_id AS age FROM ent),
+put AS (SELECT a.flush, a.k, a.seq, a.op, a.v, o.level, CAST({place} AS BIGINT) AS ord FROM aged a JOIN off o ON a.age >= o.start AND a.age < o.start + o.have * o.size),
+id AS (SELECT level, ord, max(flush) AS run_id, count(DISTINCT flush) AS buffers, min(flush) AS low FROM put GROUP BY level, ord),
+best AS (SELECT level, ord, k, max(seq) AS seq, arg_max(op, seq) AS op FROM put GROUP BY level, ord, k),
+final AS (SELECT b.*, i.run_id, i.buffers FROM best b JOIN id i USING (level, ord) WHERE b.op = 'p' OR i.buffers = 1 OR i.low > 0)
+SELECT run_id, level, ord, count(*) AS n_entries, min(k) AS min_k, max(k) AS max_k, min(seq) AS min_seq, max(seq) AS max_seq, any_value(buffers) * {BUFFER} AS cap_entries FROM final GROUP BY run_id, level, ord
+"""
+
+
+def _grown(spark, d, policy: str) -> tuple[DataFrame, T.Tree]:
+    rows = R.entries(orders_log(spark, d), EPOCH)
+    tree = T.grown(rows, policy, FANOUT)
+    return T.final_runs(rows, tree), tree
+
+
+@query(_tree_sql("TIERED"))
+def run_catalog_tiered(spark, d):
+    return T.catalog(_grown(spark, d, "TIERED")[0], BUFFER)
+
+
+@query(_tree_sql("LEVELED"))
+def run_catalog_leveled(spark, d):
+    return T.catalog(_grown(spark, d, "LEVELED")[0], BUFFER)
+
+
+@query(_tree_sql("LAZY_LEVELED"))
+def run_catalog_lazy_leveled(spark, d):
+    return T.catalog(_grown(spark, d, "LAZY_LEVELED")[0], BUFFER)
+
+
+@query()
+def run_catalog_partial(spark, d):
+    return T.catalog(_grown(spark, d, "PARTIAL")[0], BUFFER)
+
+
+@query(f"WITH {ORD} SELECT k, arg_max(v, seq) AS v FROM olog GROUP BY k HAVING arg_max(op, seq) = 'p'")
+def partial_snapshot(spark, d):
+    """What all runs of a tree under PARTIAL say together."""
+    return L.snapshot(_grown(spark, d, "PARTIAL")[0])
+
+
+# An access each: gets of the customers' keys in each run whose key range holds the key,
+# flushes in level 1, and merges in the level that they end in. Time is counted in entries:
+# those of the runs that are opened, and a buffer for each flush and moved buffer.
+IO = _tree_sql("TIERED").strip().removeprefix("WITH ").rsplit("SELECT run_id, level, ord, count(*)", 1)
+IO = f"""{IO[0]}, cat AS (SELECT run_id, level, ord, count(*){IO[1]}),
+q AS (SELECT CAST(c_custkey AS INT) AS k FROM customer),
+acc AS (SELECT level, count(*) AS io, sum(n_entries) AS us FROM q JOIN cat ON k BETWEEN min_k AND max_k GROUP BY level),
+io AS (SELECT level, CAST(sum(io) AS BIGINT) AS io, CAST(sum(us) AS BIGINT) AS us FROM (SELECT * FROM acc UNION ALL SELECT level, came, came * size * {BUFFER} FROM off) GROUP BY level)"""
 
 
 def _io(spark, d):
-    """One full scan of every run: an access each, a microsecond an entry."""
-    return _runs(spark, d)[1].groupBy("level").agg(F.count("*").alias("io"), F.sum("n_entries").alias("us"))
+    final, tree = _grown(spark, d, "TIERED")
+    cat = T.catalog(final, BUFFER)
+    keys = _t(spark, d, "customer").select(F.col("c_custkey").cast("int").alias("k"))
+    opened = R.opened(cat, keys).groupBy("level").agg(F.count("*").alias("io"), F.sum("n_entries").alias("us"))
+    made = [(1, tree.flushes, tree.flushes * BUFFER)] + [(level, n, n * FANOUT ** (level - 1) * BUFFER) for level, n in tree.merges.items()]
+    written = spark.createDataFrame(made, "level int, io long, us long")
+    return opened.unionByName(written).groupBy("level").agg(F.sum("io").alias("io"), F.sum("us").alias("us"))
 
 
 @query(f"WITH {IO} SELECT level, io, us, disk, us * multiplier AS penalised_us FROM io JOIN {DISK} ON least(level, 5) = disk_level")
@@ -223,7 +289,7 @@ def _compact(spark, d, policy: str, level: int):
     if policy == "PARTIAL":
         seg = next(((r.start, r.stop) for r in R.gaps(cat).collect() if r.level == level), None)
     ids = C.plan(policy, runs, level, seg)
-    return C.merge(rows.where(F.col("run_id").isin(ids)), C.droppable(runs, ids))
+    return C.merge(rows.where(F.col("run_id").isin(ids)), C.oldest_outside(runs, ids))
 
 
 @query(_merged("level = 2", False))
@@ -250,9 +316,17 @@ def compact_partial_gap(spark, d):
     return R.gaps(_runs(spark, d)[1])
 
 
+PARTIAL_GAP = GAP + ", seg AS (SELECT start, stop FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY level ORDER BY gap_sum, start) AS r FROM s) WHERE r = 1 AND level = 2), inside AS (SELECT run_id FROM cat, seg WHERE level = 2 AND ord >= start AND ord < stop), low AS (SELECT min(min_seq) AS low FROM cat WHERE run_id NOT IN (SELECT run_id FROM inside))"
+
+
+@query(f"WITH {PARTIAL_GAP} SELECT k, max(seq) AS seq, arg_max(op, seq) AS op, arg_max(v, seq) AS v FROM ent JOIN inside USING (run_id) GROUP BY k HAVING arg_max(op, seq) = 'p' OR max(seq) > (SELECT low FROM low)")
+def compact_partial_merge(spark, d):
+    return _compact(spark, d, "PARTIAL", 2)
+
+
 @query(_merged("true", True))
 def compact_drop_tombstones(spark, d):
-    return C.merge(_runs(spark, d)[0], True)
+    return C.merge(_runs(spark, d)[0], None)
 
 
 @query(f"WITH {CAT} SELECT level, run_id, cap_entries, bf_bits, bf_hashes, ROUND(pow(1 - exp(-bf_hashes * cap_entries / CAST(bf_bits AS DOUBLE)), bf_hashes), 6) AS fpr FROM (SELECT *, CAST(greatest(1, ceil(ln(2) * floor(bf_bits / cap_entries))) AS INT) AS bf_hashes FROM (SELECT *, CAST(ceil(-(cap_entries * ln(0.01)) / ln(2) / ln(2)) AS BIGINT) AS bf_bits FROM cat))")
@@ -263,9 +337,7 @@ def bloom_sizing(spark, d):
 def _probes(spark, d):
     rows, cat = _runs(spark, d)
     keys = _t(spark, d, "customer").select(F.col("c_custkey").cast("int").alias("k"))
-    width = 64
-    spread = cat.select("run_id", "min_k", "max_k", F.explode(F.sequence(F.floor(F.col("min_k") / width), F.floor(F.col("max_k") / width))).alias("b"))
-    asked = keys.withColumn("b", F.floor(F.col("k") / width)).join(spread, "b").where("k between min_k and max_k").select("run_id", "k")
+    asked = R.opened(cat, keys).select("run_id", "k")
     sizes = B.sizing(cat, 0.1)
     return rows, asked, sizes, B.bit_table(rows, sizes)
 
@@ -329,10 +401,8 @@ LINE = "CASE op WHEN 'g' THEN 'g ' || k WHEN 'd' THEN 'd ' || k WHEN 'r' THEN 'r
 
 @query(f"WITH {LOG}, l AS (SELECT *, {LINE} AS raw, op = 'p' AND (seq % 50 = 0 OR seq % 51 = 0) AS bad FROM log) SELECT seq, CASE WHEN NOT bad THEN op END AS op, CASE WHEN NOT bad THEN k END AS a, CASE WHEN NOT bad THEN CASE op WHEN 'p' THEN v WHEN 'r' THEN k + 10 END END AS b, raw FROM l")
 def dsl_parse(spark, d):
-    from kvlog.sources.files import parse
-
     lines = events_log(spark, d).select("seq", F.expr(LINE.replace("VARCHAR", "STRING")).alias("value"))
-    return parse(lines).select("seq", "op", "a", "b", "raw")
+    return S.parse(lines).select("seq", "op", "a", "b", "raw")
 
 
 @query("WITH e AS (SELECT event_id, event_id * 1230000 AS us FROM events) SELECT event_id, CASE WHEN us >= 3600000000 THEN (us // 3600000000) || ' hours, ' ELSE '' END || CASE WHEN us % 3600000000 >= 60000000 THEN ((us % 3600000000) // 60000000) || ' minutes, ' ELSE '' END || printf('%.2f', CAST(ROUND((us % 60000000) / 1e6, 2) AS DOUBLE)) || ' seconds' AS t FROM e")
@@ -397,10 +467,79 @@ def wide_vs_skinny_union(spark, d):
     return x.agg(F.round(F.avg("l_extendedprice"), 6).alias("cps"))
 
 
+@query("SELECT o_orderstatus AS policy, CAST(floor(o_orderkey / 1000) AS INT) AS thousands, count(*) AS n, ROUND(avg(o_totalprice), 6) AS cps FROM orders WHERE o_totalprice <> 0 GROUP BY ALL")
+def rate_by_size(spark, d):
+    """Rows without a measurement left out, sizes in whole thousands, a mean for each."""
+    x = _t(spark, d, "orders").where("o_totalprice <> 0")
+    return x.groupBy(F.col("o_orderstatus").alias("policy"), X.scaled(F.col("o_orderkey"), 1000).alias("thousands")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 6).alias("cps"))
+
+
+@query("WITH x AS (SELECT event_type AS policy, CAST(ROUND(value * 100) AS BIGINT) AS faults, event_id, LAG(CAST(ROUND(value * 100) AS BIGINT)) OVER (PARTITION BY event_type ORDER BY event_id) AS before FROM events) SELECT policy, count(*) AS windows, ROUND(avg(faults - COALESCE(before, 0)), 6) AS mean_faults FROM x GROUP BY 1")
+def faults_by_policy(spark, d):
+    """Increase of a running count from window to window, as a mean for each policy."""
+    x = _t(spark, d, "events").select(F.col("event_type").alias("policy"), "event_id", F.round(F.col("value") * 100).cast("long").alias("faults"))
+    x = W.delta(x, "policy", "event_id", "faults").withColumn("more", F.coalesce("delta", "faults"))
+    return x.groupBy("policy").agg(F.count("*").alias("windows"), F.round(F.avg("more"), 6).alias("mean_faults"))
+
+
+@query("SELECT tree, threads, ROUND(avg(cps), 6) AS cps FROM (SELECT 'wide' AS tree, o_orderpriority AS threads, o_totalprice AS cps FROM orders UNION ALL SELECT 'skinny', c_mktsegment, c_acctbal FROM customer) GROUP BY 1, 2")
+def two_inputs_union(spark, d):
+    """Two inputs, each with its label, put together and averaged."""
+    wide = _t(spark, d, "orders").select(F.lit("wide").alias("tree"), F.col("o_orderpriority").alias("threads"), F.col("o_totalprice").alias("cps"))
+    skinny = _t(spark, d, "customer").select(F.lit("skinny").alias("tree"), F.col("c_mktsegment").alias("threads"), F.col("c_acctbal").alias("cps"))
+    return wide.unionByName(skinny).groupBy("tree", "threads").agg(F.round(F.avg("cps"), 6).alias("cps"))
+
+
+@query("SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS size, o_orderstatus AS q FROM orders")
+def angle_extract(spark, d):
+    """Numbers and names that lines of a log carry in angle brackets."""
+    o = _t(spark, d, "orders")
+    size, q = (F.concat(F.lit(a), F.lit(" <"), F.col(c).cast("string"), F.lit(">")) for a, c in (("node size", "o_custkey"), ("q", "o_orderstatus")))
+    return o.select("o_orderkey", X.in_angles(size).cast("long").alias("size"), X.in_angles(q).alias("q"))
+
+
+@query("SELECT o_orderstatus, list_aggregate(list_sort(list(DISTINCT o_orderpriority)), 'string_agg', '|') AS names, min(o_custkey) AS low, max(o_custkey) AS high, CAST(max(length(o_orderpriority)) AS INT) AS width FROM orders GROUP BY 1")
+def unique_min_max(spark, d):
+    """Distinct values, least and greatest, and the longest text of a column."""
+    by = _t(spark, d, "orders").groupBy("o_orderstatus")
+    names = F.concat_ws("|", F.array_sort(F.collect_set("o_orderpriority")))
+    return by.agg(names.alias("names"), F.min("o_custkey").alias("low"), F.max("o_custkey").alias("high"), F.max(F.char_length("o_orderpriority")).alias("width"))
+
+
+@query("SELECT o_orderkey, CAST(floor(o_totalprice / 1000) AS INT) AS thousands, format('{:,}', CAST(ROUND(o_orderkey * 1000000 / 1e6) AS BIGINT)) || 'M' AS millions, printf('%.2f%%', (o_orderkey % 100) / 100.0 * 100) AS share FROM orders")
+def number_formats(spark, d):
+    key = F.col("o_orderkey")
+    return _t(spark, d, "orders").select("o_orderkey", X.scaled(F.col("o_totalprice"), 1000).alias("thousands"), X.millions(key * 1_000_000).alias("millions"), X.share((key % 100) / F.lit(100.0)).alias("share"))
+
+
+IO_WINDOWS = f"""
+WITH {LOG}, e AS (SELECT *, seq // {EPOCH} AS run_id FROM log),
+r AS (SELECT run_id, min(k) AS lo, max(k) AS hi FROM e WHERE op IN ('p', 'd') GROUP BY run_id),
+g AS (SELECT g.seq, count(r.run_id) AS io FROM e g LEFT JOIN r ON g.op = 'g' AND r.run_id < g.run_id AND g.k BETWEEN r.lo AND r.hi GROUP BY g.seq),
+t AS (SELECT g.seq, g.io + CASE WHEN (g.seq + 1) % {EPOCH} = 0 THEN 1 ELSE 0 END AS io FROM g),
+b AS (SELECT seq // 500 AS bucket, CAST(sum(io) AS BIGINT) AS io, count(*) AS commands FROM t GROUP BY 1)
+SELECT bucket, commands, io, CAST(sum(io) OVER (ORDER BY bucket) AS BIGINT) AS total_io FROM b
+"""
+
+
+@query(IO_WINDOWS)
+def throughput_io(spark, d):
+    """Accesses in windows of 500 commands: a get opens each earlier run whose key range
+    holds its key, the last command of an epoch flushes."""
+    log = events_log(spark, d)
+    cat = R.catalog(R.entries(log, EPOCH), EPOCH)
+    asked = log.where("op = 'g'").select("seq", "k", F.floor(F.col("seq") / EPOCH).alias("now"))
+    opened = R.opened(cat, asked).where("run_id < now").groupBy("seq").agg(F.count("*").alias("n"))
+    flush = F.when((F.col("seq") + 1) % EPOCH == 0, 1).otherwise(0)
+    x = log.select("seq", F.col("seq").alias("us")).join(opened, "seq", "left")
+    x = x.select("seq", "us", (F.coalesce("n", F.lit(0)) + flush).alias("io"))
+    return W.throughput(x, 500).select("bucket", "commands", "io", "total_io")
+
+
 @query("SELECT ROW_NUMBER() OVER (ORDER BY p_size, p_partkey) AS n, p_size AS size FROM part")
 def sorted_sizes(spark, d):
-    x = _t(spark, d, "part").select(F.col("p_size").alias("size"), (F.col("p_size").cast("long") * 10_000_000 + F.col("p_partkey")).alias("o"))
-    return W.numbered(x, "o").select("n", "size")
+    x = _t(spark, d, "part").select(F.col("p_size").alias("size"), "p_partkey")
+    return W.numbered(x, "size", "p_partkey").select("n", "size")
 
 
 @query(f"WITH {PARTS} SELECT k, count(*) AS found, (list_sort(list(v)))[1:5] AS vs FROM pairs GROUP BY k".replace("(list_sort(list(v)))[1:5] AS vs", "array_to_string((list_sort(list(v)))[1:5], ',') AS vs"))
@@ -426,45 +565,70 @@ def workload_generate(spark, d):
     return generate(spark, Workload(puts=5000, gets=2000, ranges=500, deletes=500, skew=0.5, max_range=1000))
 
 
-def _scratch(spark, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all nodes share."""
-    import tempfile
-    import uuid
+@query(f"WITH {ORD} SELECT ROW_NUMBER() OVER (ORDER BY seq) - 1 AS seq, k, op, CASE WHEN op = 'p' THEN v END AS v FROM olog")
+def command_roundtrip(spark, d):
+    """Orders as command lines, written, read in order and parsed again."""
+    path = S.scratch(spark, "commands")
+    S.write_commands(orders_log(spark, d), path)
+    return S.read_commands(spark, path).select("seq", F.col("a").alias("k"), "op", F.col("b").alias("v"))
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kvlog-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
+@query(f"WITH {ORD} SELECT k, op, CASE WHEN op = 'p' THEN v END AS v, ROW_NUMBER() OVER (ORDER BY seq) - 1 AS seq FROM olog")
+def binary_load(spark, d):
+    """Orders in binary files of 32-bit pairs, a file for 4,000 sequence numbers, loaded in order."""
+    path, pairs = S.scratch(spark, "pairs"), orders_log(spark, d)
+    v = F.when(F.col("op") == "p", F.col("v")).otherwise(L.TOMBSTONE)
+    name = F.format_string("%s/%08d.dat", F.lit(path), F.floor(F.col("seq") / 4000))
+    S.write_pairs(pairs.select("seq", "k", v.alias("v")).withColumn("path", name), path)
+    return S.load_order(S.read_pairs(spark, f"{path}/*.dat"))
 
-@query(f"WITH {ORD} SELECT k, op, v FROM olog")
-def command_roundtrip(spark, d):
-    """Orders as command lines, written, read and parsed again."""
-    from kvlog.sources.files import read_commands, write_commands
 
-    path = _scratch(spark, "commands")
-    write_commands(orders_log(spark, d), path)
-    return read_commands(spark, path).select(F.col("a").alias("k"), "op", F.col("b").alias("v"))
+EXTERNAL = f"WITH {LOG}, g AS (SELECT *, sum(CASE WHEN op <> 'p' THEN 1 ELSE 0 END) OVER (ORDER BY seq) AS g FROM log), b AS (SELECT min(seq) AS seq, count(*) AS puts FROM g WHERE op = 'p' GROUP BY g)"
 
 
-SQL["command_roundtrip"] = f"WITH {ORD} SELECT k, op, CASE WHEN op = 'p' THEN v END AS v FROM olog"
+@query(f"{EXTERNAL} SELECT seq, 'l' AS op, puts AS pairs FROM b UNION ALL SELECT seq, op, 0 FROM log WHERE op <> 'p'")
+def external_puts(spark, d):
+    """Each run of puts in a binary file of its own, a load line in its place; the files are
+    read again for the number of pairs that each line stands for."""
+    path = S.scratch(spark, "bursts")
+    lines = S.parse(S.write_external(events_log(spark, d), path))
+    pairs = S.read_pairs(spark, f"{path}/*.dat").groupBy(F.regexp_extract("path", "[0-9]+[.]dat", 0).alias("f")).agg(F.count("*").alias("pairs"))
+    out = lines.withColumn("f", F.regexp_extract("path", "[0-9]+[.]dat", 0)).join(pairs, "f", "left")
+    return out.select("seq", "op", F.coalesce("pairs", F.lit(0).cast("long")).alias("pairs"))
+
+
+@query("SELECT ROW_NUMBER() OVER (ORDER BY p_size, p_partkey) - 1 AS line, CAST(p_size AS BIGINT) AS n FROM part")
+def integer_lines(spark, d):
+    """Sorted sizes in a text file, an integer a line."""
+    path = S.scratch(spark, "sizes")
+    part = _t(spark, d, "part")
+    part.repartitionByRange(1, "p_size", "p_partkey").sortWithinPartitions("p_size", "p_partkey").select(F.col("p_size").cast("string")).write.text(path)
+    return S.read_integers(spark, path)
+
+
+@query(f"WITH {ORD}, f AS (SELECT seq, k, op, v, seq % 3 AS client, seq // 3 AS line FROM olog), n AS (SELECT count(*) AS many FROM olog) SELECT line * 3 + client AS seq, k, op, CASE WHEN op = 'p' THEN v END AS v FROM f")
+def client_turns(spark, d):
+    """Orders dealt to the files of three clients, read in turns."""
+    path = S.scratch(spark, "clients")
+    log = orders_log(spark, d).withColumn("client", F.col("seq") % 3)
+    for i in range(3):
+        log.where(F.col("client") == i).repartitionByRange(1, "seq").sortWithinPartitions("seq").select(S.line().alias("value")).write.text(f"{path}/{i}")
+    return S.read_clients(spark, [f"{path}/{i}" for i in range(3)]).select("seq", F.col("a").alias("k"), "op", F.col("b").alias("v"))
 
 
 @query(SQL["run_catalog"])
 def state_roundtrip(spark, d):
-    from kvlog.sources.files import read_state, write_state
-
     runs = run_catalog(spark, d)
-    path = _scratch(spark, "state")
-    write_state(runs, path)
-    return read_state(spark, path, runs.schema)
+    path = S.scratch(spark, "state")
+    S.write_state(runs, path)
+    return S.read_state(spark, path, runs.schema)
 
 
 @query(f"WITH {ENT} SELECT run_id, k, seq, op, v FROM ent WHERE k BETWEEN 100 AND 200")
 def run_files(spark, d):
     """Entries written as run files sorted by key, then read by a key range."""
-    from kvlog.sources.files import write_run
-
-    path = _scratch(spark, "runs")
-    write_run(_runs(spark, d)[0], path, 100_000)
+    path = S.scratch(spark, "runs")
+    S.write_run(_runs(spark, d)[0], path, 100_000)
     return spark.read.parquet(path).where("k between 100 and 200").select("run_id", "k", "seq", "op", "v")
 
 
@@ -477,4 +641,4 @@ def stream_snapshot(spark, d):
     # a stream's plain path must be a folder; a pattern may match one file
     events = spark.readStream.schema(source.schema).parquet(f"{d.rstrip('/')}/events.parque[t]")
     log = L.mutations(_as_log(events))
-    return run_available(log.withColumn("v", F.when(F.col("op") == "p", F.col("v"))), _scratch(spark, "stream"))
+    return run_available(log.withColumn("v", F.when(F.col("op") == "p", F.col("v"))), S.scratch(spark, "stream"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kvlog.functions.text import command
+from kvlog.operators.windows import with_bursts
 from kvlog.plans.log import TOMBSTONE
 
 
@@ -16,10 +20,40 @@ def parse(lines: DataFrame) -> DataFrame:
     return lines.withColumn("c", command(F.col("value"))).select("seq", "c.op", "c.a", "c.b", "c.path", F.col("value").alias("raw"))
 
 
-def read_commands(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(seq, file, line, value)`` of text files: ``seq`` counts in order of file name and
+    offset, ``line`` within the file. A file is read in stretches; rows of a stretch come in
+    order, so a count for each stretch gives all their numbers."""
+    m = F.col("_metadata")
+    raw = spark.read.text(path).select("value", m.file_path.alias("file"), m.file_block_start.alias("at"), F.monotonically_increasing_id().alias("id"))
+    by = raw.groupBy("file", "at").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = lambda w: F.sum("n").over(w) - F.col("n")
+    by = by.withColumn("line0", before(Window.partitionBy("file").orderBy("at"))).withColumn("seq0", before(Window.orderBy("file", "at")))
+    own = F.col("id") - F.col("first")
+    return raw.join(by, ["file", "at"]).select((own + F.col("seq0")).alias("seq"), "file", (own + F.col("line0")).alias("line"), "value")
+
+
+def read_commands(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Commands of text files in order of file name and offset."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("seq"))
-    return parse(lines.select("seq", "value"))
+    return parse(numbered_lines(spark, path).select("seq", "value"))
+
+
+def read_clients(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Commands of several clients at once, a file each: first lines, second lines, and so
+    on, each time in order of file name."""
+    lines = numbered_lines(spark, path)
+    files = lines.select("file").distinct()  # a row for each client
+    rank = files.withColumn("client", F.row_number().over(Window.orderBy("file")) - 1)
+    turns = lines.join(rank, "file")
+    many = files.agg(F.count("*").alias("clients"))
+    seq = F.col("line") * F.col("clients") + F.col("client")
+    return parse(turns.crossJoin(F.broadcast(many)).select(seq.alias("seq"), "value"))
+
+
+def read_integers(spark: SparkSession, path: str) -> DataFrame:
+    """``(line, n)`` of a file with an integer a line; blank lines and other text are left out."""
+    lines = numbered_lines(spark, path).select("line", F.trim("value").try_cast("long").alias("n"))
+    return lines.where("n is not null")
 
 
 def as_log(commands: DataFrame) -> DataFrame:
@@ -36,18 +70,99 @@ def _pairs(batches):
             yield pa.RecordBatch.from_arrays([pa.array([path] * len(x), pa.string()), pa.array(np.arange(len(x))), pa.array(x[:, 0]), pa.array(x[:, 1])], ["path", "pos", "k", "v"])
 
 
+#: Files from this size on are cut into records by the JVM; smaller ones are a row each.
+LARGE = 256 << 20
+
+
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """Binary files of little-endian 32-bit ``(key, value)``; a partial record at the end
-    is ignored, the least value is a delete."""
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    x = raw.mapInArrow(_pairs, "path string, pos long, k int, v int")
+    """``(path, pos, op, k, v)`` of binary files of little-endian 32-bit ``(key, value)``;
+    ``pos`` counts within a file. A partial record at the end of a file is ignored (in a
+    large file, such records fail), the least value is a delete."""
+    listed = spark.read.format("binaryFile").load(path).select("path", "length")
+    small = spark.read.format("binaryFile").load(path).where(F.col("length") < LARGE).select("path", "content")
+    x = small.mapInArrow(_pairs, "path string, pos long, k int, v int")
+    for r in listed.where(F.col("length") >= LARGE).collect():  # a row a file
+        records = spark.sparkContext.binaryRecords(r.path, 8).zipWithIndex().map(lambda r: (r[1], bytearray(r[0])))
+        raw = spark.createDataFrame(records, "pos long, b binary")
+        # Lowest byte first: two hex digits each, put the other way round.
+        num = lambda at: F.conv(F.concat(*[F.substring(F.hex("b"), at + i, 2) for i in (6, 4, 2, 0)]), 16, 10).cast("long")
+        signed = lambda n: F.when(n >= 2**31, n - 2**32).otherwise(n).cast("int")
+        x = x.unionByName(raw.select(F.lit(r.path).alias("path"), "pos", signed(num(1)).alias("k"), signed(num(9)).alias("v")))
     dead = F.col("v") == TOMBSTONE
     return x.select("path", "pos", F.when(dead, "d").otherwise("p").alias("op"), "k", F.when(~dead, F.col("v")).alias("v"))
 
 
+def load_order(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``seq`` from 0: file after file, in order of name."""
+    by = pairs.groupBy("path").agg(F.count("*").alias("n"))
+    base = by.select("path", (F.sum("n").over(Window.orderBy("path")) - F.col("n")).alias("base"))
+    return pairs.join(base, "path").select((F.col("pos") + F.col("base")).alias("seq"), "op", "k", "v")
+
+
+def _dat(key, rows):
+    from pyarrow import fs
+
+    rows = rows.sort_by("seq")
+    pairs = np.stack([rows.column(c).to_numpy().astype("<i4") for c in ("k", "v")], axis=1)
+    where, path = fs.FileSystem.from_uri(rows.column("path")[0].as_py())
+    draft = f"{path}.{uuid.uuid4().hex}"
+    with where.open_output_stream(draft) as out:
+        out.write(pairs.tobytes())
+    where.move(draft, path)  # a task that runs twice leaves one whole file
+    return pa.table({"burst": [key[0].as_py()], "path": [rows.column("path")[0].as_py()], "pairs": pa.array([len(rows)], pa.int64())})
+
+
+def write_external(log: DataFrame, path: str) -> DataFrame:
+    """Write each run of consecutive puts to a binary file of its own under ``path`` (a URI of
+    shared storage) and return command lines ``(seq, value)`` in which an ``l`` line stands
+    for it. A burst is written by one task; its size is that of the file."""
+    spark = log.sparkSession
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(fs_path)
+    full = fs.makeQualified(fs_path).toString().replace("file:/", "file:///", 1) if path.startswith(("/", "file:")) else path
+    puts = with_bursts(log).withColumn("path", F.concat(F.lit(full.rstrip("/") + "/"), F.col("burst"), F.lit(".dat")))
+    puts.select("burst", "path", "seq", "k", "v").groupBy("burst").applyInArrow(_dat, "burst long, path string, pairs long").write.mode("overwrite").parquet(f"{full.rstrip('/')}/written")
+    loads = puts.groupBy("burst", "path").agg(F.min("seq").alias("seq"))
+    rest = log.where("op <> 'p'").select("seq", line().alias("value"))
+    return rest.unionByName(loads.select("seq", F.format_string('l "%s"', "path").alias("value")))
+
+
+def write_pairs(rows: DataFrame, path: str) -> None:
+    """Write ``rows (path, seq, k, v)`` as binary files of pairs, one for each ``path`` in the
+    folder ``path``, in order of ``seq``."""
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+    rows.withColumn("burst", F.xxhash64("path")).groupBy("burst").applyInArrow(_dat, "burst long, path string, pairs long").write.mode("overwrite").parquet(f"{path.rstrip('/')}/written")
+
+
+def unlink(spark: SparkSession, path: str) -> bool:
+    """Remove a file or folder of any file system that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none where there is no such folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path under ``spark.checkpoint.dir``, which all nodes share; where that
+    is not set (a single machine), under a folder of this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='kvlog-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def line():
+    return F.when(F.col("op").isin("g", "d"), F.format_string("%s %d", "op", "k")).otherwise(F.format_string("%s %d %d", "op", "k", "v"))
+
+
 def write_commands(log: DataFrame, path: str) -> None:
-    line = F.when(F.col("op").isin("g", "d"), F.format_string("%s %d", "op", "k")).otherwise(F.format_string("%s %d %d", "op", "k", "v"))
-    log.select("seq", line.alias("value")).repartitionByRange("seq").sortWithinPartitions("seq").select("value").write.text(path)
+    log.select("seq", line().alias("value")).repartitionByRange("seq").sortWithinPartitions("seq").select("value").write.text(path)
 
 
 def write_run(rows: DataFrame, path: str, distinct: int) -> None:
@@ -56,6 +171,20 @@ def write_run(rows: DataFrame, path: str, distinct: int) -> None:
     out.write.option("parquet.bloom.filter.enabled#k", "true").option("parquet.bloom.filter.expected.ndv#k", str(max(1, distinct))).parquet(path)
 
 
+def write_runs(rows: DataFrame, path: str, distinct: int) -> None:
+    """Entries ``(run_id, k, ...)`` in a folder ``to=<run>`` for each run, sorted by key, with
+    a Bloom filter on it. A large run is several files."""
+    out = rows.withColumn("to", F.col("run_id")).repartitionByRange("to", "k").sortWithinPartitions("to", "k")
+    bloom = {"parquet.bloom.filter.enabled#k": "true", "parquet.bloom.filter.expected.ndv#k": str(max(1, distinct))}
+    out.write.options(**bloom).partitionBy("to").parquet(path)
+
+
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as written to a folder and read from it."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_state(runs: DataFrame, path: str) -> None:
     runs.write.mode("overwrite").json(path)
 

@@ -4,7 +4,7 @@ import random
 import struct
 
 import pytest
-from kvlog.engine import HELP, Engine, EngineConfig
+from kvlog.engine import CONSOLE_HELP, HELP, Engine, EngineConfig
 from kvlog.functions import text as X
 from kvlog.operators import bloom as B
 from kvlog.operators import compaction as C
@@ -12,6 +12,7 @@ from kvlog.operators import multimap as M
 from kvlog.operators import reads as Q
 from kvlog.plans import log as L
 from kvlog.plans import runs as R
+from kvlog.plans import tree as T
 from kvlog.sources import files
 from kvlog.sources.workload import Workload, generate
 from kvlog.streaming.live import live_commands, live_snapshot, run_available
@@ -72,26 +73,160 @@ def test_replay(spark, seed):
             gets[s] = db.get(k)
         else:
             lo, hi = min(k, v), max(k, v)
-            if lo != hi and hi - lo < 10_000:
+            if lo != hi:
                 ranges[s] = {x: y for x, y in db.items() if lo <= x < hi}
     log = spark.createDataFrame([(s, o, k, None if o in "dg" else v) for s, o, k, v in rows], LOG)
     assert {r.k: r.v for r in L.snapshot(log).collect()} == db
     assert {r.seq: r.v for r in Q.gets_as_of(log).collect()} == gets
     assert {r.seq: r.v for r in Q.gets_by_window(log).collect()} == gets
+    # A key whose rows lie in many slices.
+    assert {r.seq: r.v for r in Q.gets_as_of(log, 7).collect()} == gets
+    assert sorted(map(tuple, L.versions(log, 7).collect())) == sorted(map(tuple, L.versions(log).collect()))
     assert {r.seq: r.succeeded for r in Q.deletes(log).collect()} == dels
-    asked = log.where("op = 'r' and abs(cast(k as long) - v) < 10000").select("seq", F.col("k").alias("a"), F.col("v").alias("b"))
+    asked = log.where("op = 'r'").select("seq", F.col("k").alias("a"), F.col("v").alias("b"))
     got = {s: {} for s in ranges}
     for r in Q.ranges_as_of(log, asked, 8).collect():
         if r.k is not None:
             got[r.seq][r.k] = r.v
     assert got == ranges
-    # No policy changes what the log says.
-    entries = R.entries(log, 50)
-    runs = [r.asDict() for r in R.catalog(entries, 50).collect()]
+    # No policy changes what the log says, whichever level and segment is compacted.
+    entries = R.entries(log, 30)
+    runs = [r.asDict() for r in R.catalog(entries, 30).collect()]
+    rng = random.Random(seed)
     for policy in C.POLICIES:
-        after, catalog = C.compact(entries, runs, policy, 1)
-        assert {r.k: r.v for r in L.snapshot(after).collect()} == db
-        assert len(catalog) < len(runs)
+        for level in sorted({r["level"] for r in runs}):
+            n = sum(r["level"] == level for r in runs)
+            start = rng.randrange(n)
+            after, catalog = C.compact(entries, runs, policy, level, (start, rng.randint(start + 1, n)))
+            assert {r.k: r.v for r in L.snapshot(after).collect()} == db
+            places = [(r["level"], r["ord"]) for r in catalog]
+            assert len(catalog) <= len(runs) and len(set(places)) == len(places)
+
+
+def test_a_delete_stays_while_something_older_lies_outside(spark):
+    rows = spark.createDataFrame([(0, 1, 5, "p", 7), (1, 1, 15, "d", None), (1, 2, 16, "p", 3), (2, 3, 25, "p", 4)], "run_id long, k int, seq long, op string, v int")
+    runs = [{"run_id": i, "level": lv, "ord": o, "n_entries": 1, "cap_entries": 10, "min_k": 1, "max_k": 9, "min_seq": 10 * i + 5, "max_seq": 10 * i + 9} for i, lv, o in ((2, 1, 0), (1, 1, 1), (0, 1, 2))]
+    after, _ = C.compact(rows, runs, "PARTIAL", 1, (0, 2))
+    assert {r.k: r.v for r in L.snapshot(after).collect()} == {2: 3, 3: 4} and after.where("op = 'd'").count() == 1
+    after, catalog = C.compact(rows, runs, "PARTIAL", 1, (1, 3))
+    assert {r.k: r.v for r in L.snapshot(after).collect()} == {2: 3, 3: 4} and after.where("op = 'd'").count() == 0
+    assert sorted((r["level"], r["ord"]) for r in catalog) == [(1, 0), (2, 0)]
+
+
+@pytest.mark.parametrize("policy", C.POLICIES)
+@pytest.mark.parametrize("fanout", [2, 3])
+def test_tree(policy, fanout):
+    rng = random.Random(fanout)
+    t = T.Tree(policy, fanout)
+    for n in range(60):
+        a = rng.randrange(100)
+        t.flush(n, a, a + rng.randrange(50))
+        spans = sorted(x[:2] for x in t.rows())
+        assert [i for a, b in spans for i in range(a, b + 1)] == list(range(n + 1))
+        for level in range(1, len(t.levels) + 1):
+            assert t.used(level) <= t.capacity(level)
+            if t.leveled(level):
+                assert len(t.levels[level - 1]) <= 1
+    assert sum(t.merges.values()) > 0 and len(t.levels) >= 3
+    with pytest.raises(ValueError):
+        T.Tree("NONE")
+
+
+@pytest.mark.parametrize("policy", C.POLICIES)
+def test_final_runs(spark, policy):
+    rows = _random_log(400, 9)
+    log = L.mutations(spark.createDataFrame([(s, o, k, v if o == "p" else None) for s, o, k, v in rows], LOG))
+    entries = R.entries(log, 40)
+    tree = T.grown(entries, policy, 2)
+    final = T.final_runs(entries, tree)
+    assert {r.k: r.v for r in L.snapshot(final).collect()} == {r.k: r.v for r in L.snapshot(log).collect()}
+    assert {r.run_id for r in T.catalog(final, 40).collect()} <= {r.run_id for level in tree.levels for r in level}
+    assert T.catalog(T.final_runs(entries.where("false"), T.Tree(policy, 2)), 40).count() == 0
+
+
+@pytest.mark.parametrize("policy", C.POLICIES)
+def test_engine_flushes_and_merges(spark, policy):
+    e = Engine(spark, EngineConfig(buffer_pairs=4, fanout=2, policy=policy, report_every=10))
+    rng, db = random.Random(5), {}
+    for _ in range(34):
+        k, v = rng.randrange(12), rng.randrange(100)
+        if rng.random() < 0.3:
+            e.delete(k)
+            db.pop(k, None)
+        else:
+            e.put(k, v)
+            db[k] = v
+    assert {r.k: r.v for r in L.snapshot(e.log).collect()} == db and e.pairs() == len(db)
+    assert len(e.buffer) <= 4 and e.files and all(r.cap_entries >= r.n_entries for r in e.runs().collect())
+    assert [e.execute(f"g {k}") for k in range(12)] == [str(db.get(k, "")) for k in range(12)]
+    assert e.execute("r 11 0") == " ".join(f"{k}:{db[k]}" for k in sorted(db) if k < 11)
+    assert len(e.progress) == 4 and e.progress[0]["commands"] == 10 and sum(x[0] for x in e.io.values()) > 0
+
+
+def test_engine_guards_and_loads(spark, tmp_path):
+    e = Engine(spark)
+    (tmp_path / "one.dat").write_bytes(struct.pack("<2i", 5, 900))
+    e.load(str(tmp_path / "one.dat"))
+    assert [e.execute(x) for x in ("p 5 1", "g 5")] == ["", "1"]
+    assert [e.execute(x) for x in ("p 99999999999 1", "d -2147483648", "g 5")] == [HELP, HELP, "1"]
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "a.dat").write_bytes(struct.pack("<4i", 1, 1, 2, 2))
+    (tmp_path / "many" / "b.dat").write_bytes(struct.pack("<4i", 2, 3, 1, -2147483648))
+    e.load(str(tmp_path / "many"))
+    assert [e.execute(f"g {k}") for k in (1, 2, 5)] == ["", "3", "1"]
+    e.save(f"file://{tmp_path}/state")
+    back = Engine.restore(spark, f"file://{tmp_path}/state")
+    assert [back.execute(f"g {k}") for k in (1, 2, 5)] == ["", "3", "1"] and back.seq == e.seq
+    assert back.misses()["get_hits"] == e.misses()["get_hits"] + 3 and back.config == e.config
+    back.execute("p 1 8")
+    assert back.execute("g 1") == "8"
+
+
+def test_engine_benchmark(spark, tmp_path):
+    (tmp_path / "x.dat").write_bytes(struct.pack("<4i", 1, 50, 30, 60))
+    lines = ["p 1 2", "g 1", f'l "{tmp_path / "x.dat"}"', "g 1", "r 0 100", "d 1", "g 1", "g 77", "r 0 5", "r 5 5", "junk", "p 3 4"]
+    (tmp_path / "c.txt").write_text("\n".join(lines) + "\n")
+    e = Engine(spark, EngineConfig(buffer_pairs=3))
+    e.put(9, 9)
+    assert e.execute(f"b {tmp_path / 'c.txt'}").split("\n") == ["2", "50", "1:50 9:9 30:60", "", "", "", ""]
+    assert e.misses() == {"get_hits": 3, "get_misses": 1, "range_hits": 1, "range_misses": 1}
+    assert [e.execute(f"g {k}") for k in (1, 3, 9, 30)] == ["", "4", "9", "60"]
+
+
+def test_console(spark):
+    e = Engine(spark, EngineConfig(buffer_pairs=2, fanout=2))
+    for x in ("p 1 1", "p 2 2", "p 3 3", "p 4 4", "p 5 5", "g 1", "g 9"):
+        e.execute(x)
+    assert "bf_bits" in e.console("bloom") and "bits" in e.console("monkey") and "get_misses: 1" in e.console("misses")
+    assert "penalised_us" in e.console("io") and e.console("help") == CONSOLE_HELP == e.console("what")
+    rates = e.bloom_rates(spark.range(6).select(F.col("id").cast("int").alias("k"))).collect()
+    assert len(rates) == 2 and all(r.fn == 0 for r in rates)
+    assert {"pairs: 5", "buffer_pairs: 1", "runs: 2"} <= set(e.execute("i").split("\n"))
+    e.console("qs")
+    assert not e.open and Engine.restore(spark, f"{e.path}/saved").execute("g 4") == "4"
+
+
+def test_lines_in_order_of_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("p 1 1\n")
+    (tmp_path / "b.txt").write_text("".join(f"p 1 {i}\n" for i in range(2, 3000)))
+    (tmp_path / "c.txt").write_text("d 1\ng 1\n")
+    rows = files.read_commands(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [r.seq for r in rows] == list(range(len(rows))) and [r.b for r in rows[:2999]] == list(range(1, 3000))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")  # a file in many stretches
+    cut = files.read_commands(spark, str(tmp_path))
+    assert cut.rdd.getNumPartitions() > 3 and cut.orderBy("seq").collect() == rows
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    turns = files.read_clients(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [r.raw for r in turns[:5]] == ["p 1 1", "p 1 2", "d 1", "p 1 3", "g 1"]
+
+
+def test_large_binary_files(spark, tmp_path, monkeypatch):
+    pairs = [(i - 50, -i if i % 7 else -2147483648) for i in range(100)]
+    (tmp_path / "x.dat").write_bytes(b"".join(struct.pack("<2i", *p) for p in pairs))
+    small = files.read_pairs(spark, str(tmp_path / "x.dat")).orderBy("pos").drop("path").collect()
+    monkeypatch.setattr(files, "LARGE", 100)
+    assert files.read_pairs(spark, str(tmp_path / "x.dat")).orderBy("pos").drop("path").collect() == small
+    assert [(r.k, r.v) for r in small] == [(k, v if v != -2147483648 else None) for k, v in pairs]
 
 
 def test_ranges_have_no_nested_loop(spark):
@@ -206,7 +341,7 @@ def test_queries_match_sql(spark):
     from kvlog.queries import QUERIES, SQL
 
     assert __spark_entry__.entry(spark).count() > 0
-    for name in ("kv_point_get", "kv_range_asof", "run_catalog", "throughput_windows", "put_bursts", "dsl_parse", "multimap_get", "stream_snapshot"):
+    for name in ("kv_point_get", "kv_range_asof", "run_catalog", "throughput_windows", "put_bursts", "dsl_parse", "multimap_get", "stream_snapshot", "kv_eval_counters", "run_catalog_lazy_leveled", "compact_partial_merge", "command_roundtrip", "binary_load"):
         a = QUERIES[name](spark, sf).toPandas()
         b = con.sql(SQL[name]).df()[list(a.columns)]
         key = lambda x: sorted(str([None if pd.isna(v) else round(float(v), 4) if not isinstance(v, str) else v for v in r]) for r in x.astype(object).itertuples(index=False))
