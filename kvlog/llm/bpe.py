@@ -188,13 +188,15 @@ class Library:
         self.forget()
 
     def forget(self) -> None:
-        self.slots: dict[int, int] = {}
+        # Hashes in order, and each one's slot: a dict would take ten times the memory.
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _add(self, hashes: list[int], blobs: list[bytes]) -> None:
+    def _add(self, at: np.ndarray, hashes: np.ndarray, blobs: list[bytes]) -> np.ndarray:
+        """Remember new words, which belong before ``at`` among those known; their slots."""
         ids = np.frombuffer(b"".join(blobs), "<u4")
-        n, many = len(self.slots), len(blobs)
+        n, many = len(self.keys), len(blobs)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while n + many > len(self.begin):
@@ -204,7 +206,9 @@ class Library:
         self.length[n : n + many] = length
         self.begin[n : n + many] = self.used + np.cumsum(length) - length
         self.used += len(ids)
-        self.slots.update(zip(hashes, range(n, n + many)))
+        slots = np.arange(n, n + many, dtype=np.int32)
+        self.keys, self.slot = np.insert(self.keys, at, hashes), np.insert(self.slot, at, slots)
+        return slots
 
     def _many(self, words: list[str]) -> list[bytes]:
         """Ids of words that stay apart for the library when put side by side."""
@@ -276,17 +280,18 @@ class Library:
         data, off = strings(col)
         start, end = self._cut(data, off)
         known, first, at = np.unique(hashes(data, start, end), return_index=True, return_inverse=True)
-        keys = known.tolist()
-        if len(self.slots) > CACHE:
+        if len(self.keys) > CACHE:
             self.forget()
-        slot = list(map(self.slots.get, keys))
-        new = [i for i, s in enumerate(slot) if s is None]
-        if new:
+        place = np.searchsorted(self.keys, known)
+        slot, there = np.zeros(len(known), np.int64), place < len(self.keys)
+        there[there] = self.keys[place[there]] == known[there]
+        slot[there] = self.slot[place[there]]
+        new = np.flatnonzero(~there)
+        if len(new):
             raw = data.tobytes()
             lo, hi = start[first[new]].tolist(), end[first[new]].tolist()
-            self._add([keys[i] for i in new], self._learn([raw[a:b].decode() for a, b in zip(lo, hi)]))
-            slot = list(map(self.slots.get, keys))
-        slots = np.array(slot, np.int64)[at] if len(keys) else np.zeros(0, np.int64)
+            slot[new] = self._add(place[new], known[new], self._learn([raw[a:b].decode() for a, b in zip(lo, hi)]))
+        slots = slot[at]
         length = self.length[slots]
         ends = np.cumsum(length)
         total = int(ends[-1]) if len(ends) else 0
