@@ -6,6 +6,7 @@ UTF-8 bytes: a polynomial hash from one running sum over all bytes, then mixed.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,13 @@ _SEP[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Texts are taken in slices of about this many bytes, to bound the arrays.
-SLICE = 2 << 20
+SLICE = 1 << 20
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
 
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, U), np.ones(1, U))
 
@@ -71,6 +78,14 @@ def slices(batch: pa.RecordBatch, col: str = "text") -> Iterator[pa.RecordBatch]
         to = min(max(to, at + 1), n)
         yield batch.slice(at, to - at)
         at = to
+    _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: a worker lives on beside other operators' workers."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 @dataclass
