@@ -625,7 +625,7 @@ def test_pipeline_with_clashing_columns(spark, tmp_path):
             assert {(r.doc_id, r.text) for r in got} <= set(rows)
         if name == "near_duplicates":
             assert sum(not _split(r.text or "") for r in got) == 1
-    assert P.packing(spark, wide, sf).select("doc_id", "piece").count() == len(rows)
+    assert P.packing(spark, wide, sf).where("piece = 0").count() == len(rows)  # long texts have more pieces
     none = wide.where("false")
     for _, stage in P.STAGES:
         assert stage(spark, none, sf).count() == 0
