@@ -28,12 +28,11 @@ from kvlog.llm.substrings import remove_repeats
 
 
 def _private(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """``docs`` with ``doc_id`` and ``text`` and its own columns under names of ours, which
-    no operator's columns can clash with."""
-    own = [f"_own_{i}" for i in range(len(docs.columns))]
-    at = {c: own[i] for i, c in enumerate(docs.columns)}
-    inner = docs.toDF(*own)
-    return inner.select("*", F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text")), own
+    """``docs`` with all columns but ``doc_id`` and ``text`` under names of ours, which no
+    operator's columns can clash with, and these names. No column is there twice: texts
+    would be written and sent twice."""
+    own = [c if c in ("doc_id", "text") else f"_own_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*own), own
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
