@@ -18,6 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,7 +136,9 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return found.groupBy("k").agg(F.max("longest").alias("longest")).select(doc_id(), "longest")
 
 
-def _cut(window: int, with_text: bool):
+def _cut(window: int, with_text: bool, whole: list[str]):
+    """``whole`` names the column that the text itself returns as, if any."""
+
     def run(batches):
         for batch in batches:
             for b in slices(batch):
@@ -162,8 +165,9 @@ def _cut(window: int, with_text: bool):
                     digests.append(hashlib.sha256(kept).hexdigest())
                     if with_text:
                         texts.append(kept.decode() if lost[row] else None)
-                names = [*b.schema.names[3:], "n_words", "n_removed", "kept_sha256"]
-                cols = [*[b.column(c) for c in range(3, b.num_columns)], pa.array(many), pa.array(lost), pa.array(digests, pa.string())]
+                text = [pc.if_else(b.column(3), pa.scalar(None, pa.string()), b.column(1).cast(pa.string())) for _ in whole]
+                names = [*b.schema.names[4:], *whole, "n_words", "n_removed", "kept_sha256"]
+                cols = [*b.columns[4:], *text, pa.array(many), pa.array(lost), pa.array(digests, pa.string())]
                 if with_text:
                     cols.append(pa.array(texts, pa.string()))
                     names.append("kept")
@@ -185,14 +189,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     other, for neither id is smaller. A null id is smaller than all others.
     """
     ship(docs.sparkSession)
-    # With texts, the other columns go along under names of our own.
+    # With texts, the other columns go along under names of our own; the text goes once.
     names = list(docs.columns) if with_text else ["doc_id"]
-    rest = [F.col(c).alias(f"_{i}") for i, c in enumerate(names)]
-    wide = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *rest)
+    whole = [f"_{i}" for i, f in enumerate(docs.schema.fields) if with_text and f.name.lower() == "text" and f.dataType == T.StringType()]
+    rest = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names) if f"_{i}" not in whole]
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    wide = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("k"), text, F.col("text").isNull().alias("none"), *rest)
     rows, known = _windows(keyed(docs), window)
     later = rows.join(known, "h").where("k > first").groupBy("k").agg(F.collect_set("h").alias("hs"))
-    joined = wide.join(later, "k", "left").select("k", "text", "hs", *[f"_{i}" for i in range(len(names))])
-    kinds = [f for f in joined.schema.fields if f.name not in ("k", "text", "hs")]
+    joined = wide.join(later, "k", "left")
+    joined = joined.select("k", "text", "hs", *[c for c in wide.columns if c not in ("k", "text")])
+    kinds = joined.schema.fields[4:] + [T.StructField(c, T.StringType()) for c in whole]
     added = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("kept", T.StringType())][: 4 if with_text else 3]
-    out = joined.mapInArrow(_cut(window, with_text), T.StructType([*kinds, *[T.StructField(n, t) for n, t in added]]))
+    out = joined.mapInArrow(_cut(window, with_text, whole), T.StructType([*kinds, *[T.StructField(n, t) for n, t in added]]))
     return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)], *[n for n, _ in added])
