@@ -18,7 +18,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -165,7 +164,8 @@ def _cut(window: int, with_text: bool, whole: list[str]):
                     digests.append(hashlib.sha256(kept).hexdigest())
                     if with_text:
                         texts.append(kept.decode() if lost[row] else None)
-                text = [pc.if_else(b.column(3), pa.scalar(None, pa.string()), b.column(1).cast(pa.string())) for _ in whole]
+                place = pa.array(np.arange(b.num_rows), mask=b.column(3).to_numpy(zero_copy_only=False))
+                text = [b.column(1).take(place).cast(pa.string()) for _ in whole]
                 names = [*b.schema.names[4:], *whole, "n_words", "n_removed", "kept_sha256"]
                 cols = [*b.columns[4:], *text, pa.array(many), pa.array(lost), pa.array(digests, pa.string())]
                 if with_text:

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from kvlog.llm import bpe, common, fingerprints, language, licences, nearest, packing, quality, seating, shards, similar, substrings, text, tokens
 from pyspark.sql import functions as F
@@ -121,11 +122,25 @@ def test_substrings(docs, empty, rows):
     assert sorted((common.NULL_KEY if r.doc_id is None else r.doc_id, *r[1:]) for r in got) == _remove(rows)
     wide = substrings.remove_repeats(docs, with_text=True)
     assert wide.columns == [*docs.columns, "n_words", "n_removed", "kept_sha256", "kept"] and wide.count() == len(rows)
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "")
+    assert sorted(map(tuple, wide.select("doc_id", "text").collect()), key=key) == sorted(map(tuple, docs.select("doc_id", "text").collect()), key=key)
     assert substrings.remove_repeats(empty).count() == 0
     lengths = {r.doc_id: r.longest for r in substrings.repeats(docs).collect()}
     assert lengths[159] == 26 and substrings.repeats(empty).count() == 0
 
 
+def test_cut_returns_texts_of_several_slices():
+    """Nulls between texts of more than one slice stay where they are."""
+    n = 800
+    texts = [None if i % 7 == 0 else f"w{i} " * (i % 900) for i in range(n)]
+    none = pa.array([t is None for t in texts])
+    cols = [pa.array(range(n)), pa.array([t or "" for t in texts]), pa.array([None] * n, pa.list_(pa.int64())), none]
+    batch = pa.RecordBatch.from_arrays([*cols, pa.array(range(n))], ["k", "text", "hs", "none", "_0"])
+    parts = list(substrings._cut(13, True, ["_1"])([batch]))
+    got = pa.Table.from_batches(parts)
+    assert len(parts) > 1 and got.column("_1").to_pylist() == texts and got.column("_0").to_pylist() == list(range(n))
+
+
 def test_fingerprints(docs, empty, rows):
     got = fingerprints.edited_fingerprints(docs).collect()
     order = _ordered({i: t for i, t in rows}.items())
