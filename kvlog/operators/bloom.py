@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LN2 = math.log(2)
+#: Bits of a filter in one row.
+BLOCK = 1 << 16
 
 
 def bits(n: Column, rate: float) -> Column:
@@ -29,9 +31,13 @@ def sizing(runs: DataFrame, error: float = 0.01) -> DataFrame:
     return out.withColumn("fpr", F.round(rate(F.col("bf_bits"), n, F.col("bf_hashes")), 6))
 
 
+def key_hashes(k: Column) -> tuple[Column, Column]:
+    return F.xxhash64(k, F.lit(1)), F.xxhash64(k, F.lit(2))
+
+
 def positions(k: Column, m: Column, h: Column) -> Column:
     """Double hashing: ``(x + i*y) mod m``."""
-    x, y = F.xxhash64(k, F.lit(1)), F.xxhash64(k, F.lit(2))
+    x, y = key_hashes(k)
     return F.transform(F.sequence(F.lit(0), h - 1), lambda i: F.pmod(F.pmod(x, m) + i * F.pmod(y, m), m))
 
 
@@ -42,14 +48,75 @@ def bit_table(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return x.distinct()
 
 
-def probe(keys: DataFrame, sizes: DataFrame, table: DataFrame) -> DataFrame:
+def blocks(sizes: DataFrame, table: DataFrame, size: int = BLOCK) -> DataFrame:
+    """``(run_id, block, words)``: the filters as 64-bit words, ``size`` bits a row, from the
+    set bits ``table (run_id, bit)``. Words without a set bit are there too."""
+    at = lambda x, n: F.floor(x / n).cast("long")
+    none = sizes.where("bf_bits > 0").select("run_id", F.explode(F.sequence(F.lit(0).cast("long"), at(F.col("bf_bits") - 1, 64))).alias("word"), F.lit(0).cast("long").alias("bits"))
+    one = F.expr("shiftleft(1L, cast(bit % 64 as int))")
+    words = table.select("run_id", at(F.col("bit"), 64).alias("word"), one.alias("bits")).unionByName(none)
+    words = words.groupBy("run_id", "word").agg(F.bit_or("bits").alias("bits"))
+    rows = words.groupBy("run_id", at(F.col("word"), size // 64).alias("block")).agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("x"))
+    return rows.select("run_id", "block", F.col("x.bits").alias("words"))
+
+
+def all_set(words: Column, bits: Column) -> Column:
+    """Whether the words of a block have all these bits, counted from the block's first."""
+    return F.forall(bits, lambda b: _is_set(words, b))
+
+
+def _is_set(words: Column, bit: Column) -> Column:
+    word = F.get(words, F.shiftright(bit, 6).cast("int"))
+    return F.call_function("shiftrightunsigned", word, (bit % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
+def probe(keys: DataFrame, sizes: DataFrame, table: DataFrame, size: int = BLOCK) -> DataFrame:
     """``(run_id, k)`` where every bit of the key is set; ``keys (run_id, k)`` are the runs
-    that a read would open."""
+    that a read would open. A key meets each block of its run's filter that it has bits in."""
     s = sizes.select("run_id", "bf_bits", "bf_hashes")
-    asked = keys.distinct().join(s, "run_id").select("run_id", "k", "bf_hashes", F.explode(F.array_distinct(positions(F.col("k"), F.col("bf_bits"), F.col("bf_hashes")))).alias("bit"))
-    n = asked.groupBy("run_id", "k").agg(F.count("*").alias("need"))
-    got = asked.join(table, ["run_id", "bit"]).groupBy("run_id", "k").agg(F.count("*").alias("have"))
-    return n.join(got, ["run_id", "k"]).where("need = have").select("run_id", "k")
+    asked = keys.distinct().join(s, "run_id").select("run_id", "k", positions(F.col("k"), F.col("bf_bits"), F.col("bf_hashes")).alias("at"))
+    block = lambda b: F.floor(b / size).cast("long")
+    asked = asked.withColumn("in", F.array_distinct(F.transform("at", block))).withColumn("need", F.size("in")).withColumn("block", F.explode("in"))
+    own = F.transform(F.filter("at", lambda b: block(b) == F.col("block")), lambda b: b % size)
+    got = asked.join(blocks(sizes, table, size), ["run_id", "block"]).where(all_set(F.col("words"), own)).select("run_id", "k", "need")
+    return got.groupBy("run_id", "k").agg(F.max("need").alias("need"), F.count("*").alias("have")).where("need = have").select("run_id", "k")
+
+
+def with_filters(runs: DataFrame, sizes: DataFrame, table: DataFrame, most: int) -> DataFrame:
+    """``runs`` with ``bf_bits, bf_hashes`` and the whole filter as ``words``, which then go
+    where the run goes. For filters of at most ``most`` bits; larger ones fail."""
+    s = sizes.select("run_id", "bf_bits", "bf_hashes")
+    fits = F.when(F.col("bf_bits") <= most, F.col("bf_bits")).otherwise(F.raise_error(F.lit("a filter is larger than its row")))
+    s = s.withColumn("bf_bits", fits)
+    return runs.join(s.join(blocks(sizes, table, most).drop("block"), "run_id"), "run_id", "left")
+
+
+def most_hashes(rate: float) -> int:
+    """Hashes of a filter for this rate at most, however many entries it has."""
+    return max(1, math.ceil(LN2 * math.floor(1 - math.log(rate) / LN2**2)))
+
+
+def passes(most: int) -> Column:
+    """Whether the filter of a row from ``with_filters``, of at most ``most`` hashes, lets the
+    key through that has the hashes ``x, y``. Said hash by hash, as Spark compiles no lambdas."""
+    m, h = F.col("bf_bits"), F.col("bf_hashes")
+    x, y = F.pmod(F.col("x"), m), F.pmod(F.col("y"), m)
+    out = h <= most
+    for i in range(most):
+        bit = F.pmod(x + i * y, m)
+        out = out & ((h <= i) | _is_set(F.col("words"), bit))
+    return F.coalesce(out, F.lit(False))
+
+
+def measured_reads(asked: DataFrame, real: DataFrame) -> DataFrame:
+    """As ``measured``, from distinct reads ``asked (run_id, k, yes)`` and those of them whose
+    key the run has, ``real (run_id, k, yes)``; only counts meet."""
+    a = asked.groupBy("run_id").agg(F.count("*").alias("n"), F.count_if("yes").alias("hit"))
+    r = real.groupBy("run_id").agg(F.count("*").alias("has"), F.count_if("yes").alias("tp"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    x = a.join(r, "run_id", "left").select("run_id", "n", "hit", zero(F.col("tp")).alias("tp"), zero(F.col("has")).alias("has"))
+    x = x.select("*", (F.col("hit") - F.col("tp")).alias("fp"), (F.col("has") - F.col("tp")).alias("fn"))
+    return _rates(x.select("run_id", "tp", "fp", (F.col("n") - F.col("hit") - F.col("fn")).alias("tn"), "fn"))
 
 
 def measured(keys: DataFrame, sizes: DataFrame, table: DataFrame, rows: DataFrame) -> DataFrame:
@@ -60,6 +127,10 @@ def measured(keys: DataFrame, sizes: DataFrame, table: DataFrame, rows: DataFram
     x = asked.join(yes, ["run_id", "k"], "left").join(real, ["run_id", "k"], "left")
     yes, real = F.coalesce("yes", F.lit(False)), F.coalesce("real", F.lit(False))
     by = x.groupBy("run_id").agg(F.count_if(yes & real).alias("tp"), F.count_if(yes & ~real).alias("fp"), F.count_if(~yes & ~real).alias("tn"), F.count_if(~yes & real).alias("fn"))
+    return _rates(by)
+
+
+def _rates(by: DataFrame) -> DataFrame:
     safe = lambda a, b: F.when(b > 0, a / b)
     return by.select("*", safe(F.col("fp"), F.col("fp") + F.col("tp")).alias("fdr"), safe(F.col("fp"), F.col("fp") + F.col("tn")).alias("fpr"))
 

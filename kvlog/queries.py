@@ -334,24 +334,31 @@ def bloom_sizing(spark, d):
     return B.sizing(_runs(spark, d)[1])
 
 
+RATE = 0.1
+
+
 def _probes(spark, d):
+    """Entries; runs with their filters, which are small, since runs are of ``EPOCH``
+    sequence numbers; keys with their hashes; and each key with each run that a read opens."""
     rows, cat = _runs(spark, d)
-    keys = _t(spark, d, "customer").select(F.col("c_custkey").cast("int").alias("k"))
-    asked = R.opened(cat, keys).select("run_id", "k")
-    sizes = B.sizing(cat, 0.1)
-    return rows, asked, sizes, B.bit_table(rows, sizes)
+    keys = _t(spark, d, "customer").select(F.col("c_custkey").cast("int").alias("k")).distinct()
+    x, y = B.key_hashes(F.col("k"))
+    keys = keys.select("k", x.alias("x"), y.alias("y"))
+    sizes = B.sizing(cat, RATE)
+    runs = B.with_filters(cat, sizes, B.bit_table(rows, sizes), B.BLOCK)
+    return rows, runs, keys, R.opened(runs, keys).select("run_id", "k", B.passes(B.most_hashes(RATE)).alias("yes"))
 
 
 @query()
 def bloom_membership(spark, d):
-    rows, asked, sizes, table = _probes(spark, d)
-    return B.probe(asked, sizes, table)
+    return _probes(spark, d)[3].where("yes").select("run_id", "k")
 
 
 @query()
 def bloom_measured_rate(spark, d):
-    rows, asked, sizes, table = _probes(spark, d)
-    return B.measured(asked, sizes, table, rows)
+    rows, runs, keys, asked = _probes(spark, d)
+    real = rows.select("run_id", "k").join(keys, "k").join(runs, "run_id")
+    return B.measured_reads(asked, real.select("run_id", "k", B.passes(B.most_hashes(RATE)).alias("yes")))
 
 
 def _monkey(spark, d, how):
