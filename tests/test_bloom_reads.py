@@ -45,3 +45,13 @@ def test_blocks_of_filters(spark, size):
     want = {(r.run_id, r.k) for r in asked.join(sizes, "run_id").select("run_id", "k", at.alias("at")).collect() if all((r.run_id, b) in have for b in r["at"])}
     got = [tuple(r) for r in B.probe(asked.union(asked), sizes, table, size).collect()]
     assert len(got) == len(want) and set(got) == want and {r for r, _ in got} == {0, 1, 2}
+
+
+def test_membership_reads_each_key_once(spark):
+    _, yes, _ = _bit_by_bit(spark)
+    got = queries.bloom_membership(spark, SF)
+    # Before, each read was a row for each of its bits: Generate of the bits, then a count.
+    assert "need" not in got._jdf.queryExecution().optimizedPlan().toString()
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(yes) and set(found) == yes
+    assert B.most_hashes(0.1) >= 3 and all(r.bf_hashes <= B.most_hashes(e) for e in (0.5, 0.1, 0.01, 1e-6) for r in B.sizing(spark.range(1, 300).selectExpr("1 level", "id run_id", "id cap_entries"), e).collect())
