@@ -599,9 +599,11 @@ def external_puts(spark, d):
     read again for the number of pairs that each line stands for."""
     path = S.scratch(spark, "bursts")
     lines = S.parse(S.write_external(events_log(spark, d), path))
-    pairs = S.read_pairs(spark, f"{path}/*.dat").groupBy(F.regexp_extract("path", "[0-9]+[.]dat", 0).alias("f")).agg(F.count("*").alias("pairs"))
-    out = lines.withColumn("f", F.regexp_extract("path", "[0-9]+[.]dat", 0)).join(pairs, "f", "left")
-    return out.select("seq", "op", F.coalesce("pairs", F.lit(0).cast("long")).alias("pairs"))
+    loads = lines.where("op = 'l'").select("seq", "op", "path")
+    pairs = S.read_listed(loads.select("path")).groupBy("path").agg(F.count("*").alias("pairs"))
+    zero = F.lit(0).cast("long")
+    out = loads.join(pairs, "path", "left").select("seq", "op", F.coalesce("pairs", zero).alias("pairs"))
+    return out.unionByName(lines.where("op is distinct from 'l'").select("seq", "op", zero.alias("pairs")))
 
 
 @query("SELECT ROW_NUMBER() OVER (ORDER BY p_size, p_partkey) - 1 AS line, CAST(p_size AS BIGINT) AS n FROM part")
