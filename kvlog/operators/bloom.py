@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -156,27 +157,83 @@ def allocate(entries: list[int], total: float) -> list[float]:
     return out
 
 
+class _Shelf:
+    """Numbers by index, the least first; equal ones lie together, the least index first."""
+
+    def __init__(self, values: list[float]):
+        self.now = values
+        self.by: dict[float, list[int]] = {}
+        for i, x in enumerate(values):
+            self.by.setdefault(x, []).append(i)
+        self.heap = list(self.by)
+        heapq.heapify(self.heap)
+
+    def put(self, i: int, x: float) -> None:
+        self.now[i] = x
+        if x not in self.by:
+            self.by[x] = []
+            heapq.heappush(self.heap, x)
+        heapq.heappush(self.by[x], i)
+
+    def _tidy(self) -> None:
+        """Forget indices whose number is another by now, until the least has one."""
+        while self.heap:
+            own = self.by[self.heap[0]]
+            while own and self.now[own[0]] != self.heap[0]:
+                heapq.heappop(own)
+            if own:
+                return
+            del self.by[heapq.heappop(self.heap)]
+
+    def least(self) -> float:
+        self._tidy()
+        return self.heap[0]
+
+    def first(self, fits) -> int:
+        """The least index of a number that fits; those that fit come before all others."""
+        out, seen = len(self.now), []
+        while True:
+            self._tidy()
+            if not self.heap or not fits(self.heap[0]):
+                break
+            out = min(out, self.by[self.heap[0]][0])
+            seen.append(heapq.heappop(self.heap))
+        for x in seen:
+            heapq.heappush(self.heap, x)
+        return out
+
+
 def allocate_greedy(entries: list[int], total: float) -> list[float]:
-    """The same by moving ever smaller amounts between two runs while that helps."""
+    """The same by moving ever smaller amounts between two runs while that helps: each time
+    from the first run, to the first run, of those that help most. A move helps by what one
+    run gains less what the other loses, so either is found by itself; no run gains more
+    from bits than it loses with as many, so the two differ."""
     if not entries:
         return []
     out = [0.0] * len(entries)
     out[0] = float(total)
     delta = float(total)
+
+    def loss(i):
+        return math.inf if out[i] < delta else cost(out[i] - delta, entries[i]) - cost(out[i], entries[i])
+
+    def less(i):
+        return cost(out[i] + delta, entries[i]) - cost(out[i], entries[i])
+
     while delta > 1:
-        best = None
-        for i in range(len(out)):
-            if out[i] < delta:
-                continue
-            lose = cost(out[i] - delta, entries[i]) - cost(out[i], entries[i])
-            for j in range(len(out)):
-                if i != j:
-                    gain = cost(out[j], entries[j]) - cost(out[j] + delta, entries[j])
-                    if gain - lose > 1e-12 and (best is None or gain - lose > best[0]):
-                        best = (gain - lose, i, j)
-        if best is None:
-            delta /= 2
-        else:
-            out[best[1]] -= delta
-            out[best[2]] += delta
+        lose, gain = (_Shelf([f(i) for i in range(len(out))]) for f in (loss, less))
+        while True:
+            low, high = lose.least(), -gain.least()
+            best = high - low
+            if not best > 1e-12:
+                break
+            i, j = lose.first(lambda x: high - x == best), gain.first(lambda x: -x - low == best)  # noqa: B023
+            # Rounded differences may be equal where either number is not the best.
+            j = j if -gain.now[j] - lose.now[i] == best else gain.first(lambda x: -x - lose.now[i] == best)  # noqa: B023
+            out[i] -= delta
+            out[j] += delta
+            for at in (i, j):
+                lose.put(at, loss(at))
+                gain.put(at, less(at))
+        delta /= 2
     return out
