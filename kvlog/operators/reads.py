@@ -57,7 +57,7 @@ def ranges_as_of(log: DataFrame, ranges: DataFrame, width: int = WIDTH) -> DataF
     spread = r.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / F.col("w")), F.floor((F.col("hi").cast("long") - 1) / F.col("w")))))
     taken = r.agg(F.collect_set("w").alias("ws"))  # one row of ten numbers at most
     found = versions(log).where("op = 'p'").select(F.col("seq").alias("vs"), "k", "v", "seq_to")
-    found = found.crossJoin(F.broadcast(taken)).withColumn("w", F.explode("ws")).withColumn("b", F.floor(F.col("k") / F.col("w"))).drop("ws")
+    found = found.withColumn("ws", taken.scalar()).withColumn("w", F.explode("ws")).withColumn("b", F.floor(F.col("k") / F.col("w"))).drop("ws")
     r = r.drop("w")
     hit = spread.join(found, ["w", "b"]).where("k >= lo and k < hi and vs < seq and seq <= seq_to").select("seq", "k", "v")
     return r.join(hit, "seq", "left").select("seq", "lo", "hi", "k", "v")
