@@ -47,7 +47,9 @@ class Plane:
         if b not in self.open:
             raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.bodies[b]), np.uint8)
             bits = np.unpackbits(raw, count=min(_BLOCK, self.n - b * _BLOCK), bitorder="little")
-            self.open[b] = np.concatenate([[0], np.cumsum(bits, dtype=np.int32)])
+            ones = np.zeros(len(bits) + 1, np.int32)
+            np.cumsum(bits, out=ones[1:])
+            self.open[b] = ones
         return self.open[b]
 
     def rank(self, i: np.ndarray) -> np.ndarray:
@@ -67,8 +69,9 @@ class Plane:
         out = np.empty(len(j), np.int64)
         for b in np.unique(at).tolist():
             own, ones = at == b, self.block(b)
-            sums = ones if bit else np.arange(len(ones)) - ones
-            out[own] = b * _BLOCK + np.searchsorted(sums, j[own] - many[b], "right") - 1
+            sums = ones if bit else np.arange(len(ones), dtype=np.int32) - ones
+            # Numbers of one width: otherwise the whole block is widened for the search.
+            out[own] = b * _BLOCK + np.searchsorted(sums, (j[own] - many[b]).astype(np.int32), "right") - 1
         return out
 
     def bits(self) -> np.ndarray:
