@@ -4,13 +4,23 @@ A dish has ``n`` customers at tables; ``weight`` is what a new table weighs, an
 ``s`` customers weighs ``s - d``. One move takes a customer, chosen evenly, from its table
 and seats it anew, so every move leaves the posterior as it is. All dishes move side by
 side; tables are kept as sizes, dish after dish, in one array.
+
+Dishes of many customers move all of them at once. The law of a seating, ``weight`` for each
+table times ``(1-d)(2-d)..(s-1-d)``, is that of customers who choose among the jumps J of a
+Poisson process of intensity ``weight J^(-1-d) e^-J / Gamma(1-d)``, each in proportion to J.
+Given a seating, a table's jump is Gamma(s-d), with sum S over the tables, and the other jumps
+have a tempered stable sum U. Given the jumps, customers choose evenly by J; with v, which is
+Gamma(n) / (S+U), in place of U, the number m of customers at new tables has the law
+``n!/(n-m)! a_m / (S(1+v))^m``, where ``sum a_m z^m = exp(weight (1+v)^d (1-(1-z)^d) / d)``; the
+others are multinomial, and the new tables are drawn one by one. So each sweep draws every
+customer's seat anew, whatever their number.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Moves of a dish in one sweep: each customer once, of more this many chosen evenly.
+#: Customers of a dish that move one after the other; more move all at once (``_at_once``).
 MOVES = 16
 #: Cells of a table of sizes that is worked on at once.
 CELLS = 2_000_000
@@ -83,16 +93,97 @@ def start(n: np.ndarray, weight: np.ndarray, d: float, rng, moves: int = MOVES)
     return _ordered(done, len(n))
 
 
+def _terms(n: np.ndarray, total: np.ndarray, weight: np.ndarray, d: float):
+    """Logarithms of ``a_m`` and of the law of m, a row a dish; m goes on until what is left
+    out is below what doubles tell apart."""
+    room, many = 64, len(n)
+    log_c, loga, logb = [0.0], np.full((many, room), -np.inf), np.full((many, room), -np.inf)
+    a, shift = np.zeros((many, room)), np.zeros(many)  # a_m / exp(shift)
+    a[:, 0], loga[:, 0], logb[:, 0] = 1.0, 0.0, 0.0
+    c, fall, top, log_total, log_n, m = np.ones(1), np.zeros(many), np.zeros(many), np.log(total), int(n.max()), 0
+    low = np.zeros(many, np.int64)  # terms in a row that count for nothing
+    while m < log_n and (low < 4).any():
+        if m + 1 == room:
+            loga, logb, a = (np.concatenate([x, np.full_like(x, fill)], axis=1) for x, fill in ((loga, -np.inf), (logb, -np.inf), (a, 0.0)))
+            room *= 2
+        if len(c) <= m:
+            j = np.arange(1, room)
+            c = np.concatenate([[1.0], np.cumprod((j - d) / j)])
+        new = weight * (a[:, : m + 1] @ c[m::-1]) / (m + 1)
+        a[:, m + 1] = new
+        great = np.flatnonzero(new > 1e200)
+        if len(great):
+            a[great, : m + 2] *= 1e-200
+            shift[great] += 200 * np.log(10)
+        with np.errstate(divide="ignore"):
+            loga[:, m + 1] = np.log(a[:, m + 1]) + shift
+            fall = fall + np.log(np.maximum(n - m, 0)) - log_total
+        m += 1
+        logb[:, m] = loga[:, m] + fall
+        top = np.maximum(top, logb[:, m])
+        # Past the mode the terms only fall, faster and faster.
+        low = np.where((logb[:, m] < top - 60) & (logb[:, m] <= logb[:, m - 1]), low + 1, 0)
+    return np.log(c[: m + 1]) if len(c) > m else np.log(np.concatenate([[1.0], np.cumprod((np.arange(1, m + 1) - d) / np.arange(1, m + 1))])), loga[:, : m + 1], logb[:, : m + 1]
+
+
+def _draw(logs: np.ndarray, rng) -> np.ndarray:
+    """A column of each row, by weights given as logarithms."""
+    p = np.cumsum(np.exp(logs - logs.max(1)[:, None]), axis=1)
+    return (p <= (rng.random(len(p)) * p[:, -1])[:, None]).sum(1)
+
+
+def _stable(weight: np.ndarray, d: float, rng) -> np.ndarray:
+    """Sums of the jumps of Poisson processes of intensity ``weight J^(-1-d) e^-J / Gamma(1-d)``:
+    positive stable numbers (Kanter), thinned by ``e^-x``, of parts that mostly are kept."""
+    parts = np.maximum(1, np.ceil(weight / d)).astype(np.int64)
+    owner = np.repeat(np.arange(len(weight)), parts)
+    scale, out = (weight / d / parts) ** (1 / d), np.zeros(len(weight))
+    while len(owner):
+        u, e = rng.random(len(owner)) * np.pi, rng.standard_exponential(len(owner))
+        x = np.sin(d * u) / np.sin(u) ** (1 / d) * (np.sin((1 - d) * u) / e) ** ((1 - d) / d) * scale[owner]
+        fine = rng.random(len(owner)) < np.exp(-x)
+        out += np.bincount(owner[fine], x[fine], len(out))
+        owner = owner[~fine]
+    return out
+
+
+def _at_once(x: np.ndarray, weight: np.ndarray, d: float, rng) -> tuple[np.ndarray, np.ndarray]:
+    """Seat all customers of the dishes anew, whose tables are the rows of ``x``. Returns the
+    row and the size of each table."""
+    n = x.sum(1).astype(np.int64)
+    jumps = rng.standard_gamma(np.where(x > 0, x - d, 1)) * (x > 0)
+    total = jumps.sum(1)
+    v = rng.standard_gamma(n) / (total + _stable(weight, d, rng))
+    log_c, loga, logb = _terms(n, total * (1 + v), weight * (1 + v) ** d, d)
+    m = _draw(logb, rng)
+    old = rng.multinomial(n - m, jumps / total[:, None])
+    own, sizes = [np.nonzero(old)[0]], [old[old > 0]]
+    rows = np.flatnonzero(m)
+    while len(rows):
+        # The table of the first of the m: s customers with weight c_(s-1) a_(m-s).
+        most = int(m[rows].max())
+        at = m[rows][:, None] - 1 - np.arange(most)
+        logs = np.where(at >= 0, log_c[:most] + np.take_along_axis(loga[rows], np.maximum(at, 0), 1), -np.inf)
+        s = _draw(logs, rng) + 1
+        own.append(rows)
+        sizes.append(s)
+        m[rows] -= s
+        rows = rows[m[rows] > 0]
+    return np.concatenate(own), np.concatenate(sizes)
+
+
 def sweep(tables: np.ndarray, sizes: np.ndarray, weight: np.ndarray, d: float, rng, change: np.ndarray | None = None, moves: int = MOVES) -> tuple[np.ndarray, np.ndarray]:
-    """One Gibbs sweep: first ``change`` customers come or go, then customers move one at a
-    time. Returns tables by dish and sizes. A dish without customers has no tables."""
+    """One Gibbs sweep: first ``change`` customers come or go, then every customer moves, one
+    at a time or, where a dish has more than ``moves``, all at once. Returns tables by dish
+    and sizes. A dish without customers has no tables."""
     owner = np.repeat(np.arange(len(tables)), tables)
     n = np.bincount(owner, sizes, len(tables)).astype(np.int64)
     change = np.zeros(len(n), np.int64) if change is None else change
     begin = np.cumsum(tables) - tables
     after = n + change
-    steps = np.where(after > 1, np.minimum(after, moves), 0)
-    still = (change == 0) & (steps == 0)
+    steps = np.where((after > 1) & (after <= moves), after, 0)
+    great = after > moves
+    still = (change == 0) & (steps == 0) & ~great
     done = [(owner[still[owner]], sizes[still[owner]])]
     # Of two customers the one that moves meets the other alone at a table.
     two = (change == 0) & (n == 2)
@@ -103,6 +194,7 @@ def sweep(tables: np.ndarray, sizes: np.ndarray, weight: np.ndarray, d: float, r
     todo = np.flatnonzero(~still & ~two)
     # A dish can't have more tables than customers, nor open more than it takes steps.
     width = np.minimum(np.maximum(n, after), tables + steps + np.maximum(change, 0))
+    late = []
     for rows in _blocks(width[todo]):
         rows = todo[rows]
         t = tables[rows]
@@ -119,5 +211,14 @@ def sweep(tables: np.ndarray, sizes: np.ndarray, weight: np.ndarray, d: float, r
             live = np.flatnonzero(steps[rows] > j)
             _leave(x, live, rng)
             _join(x, live, weight[rows[live]], d, rng)
-        done.append(_flat(rows, x))
+        own = great[rows]
+        done.append(_flat(rows[~own], x[~own]))
+        if own.any():
+            late.append((rows[own], x[own]))
+    for rows, x in late:
+        # Dishes of about equal size together: their sums are about equally long.
+        for part in _blocks(after[rows]):
+            for at in np.array_split(part, max(1, len(part) // 4096)):
+                i, size = _at_once(x[at], weight[rows[at]], d, rng)
+                done.append((rows[at][i], size.astype(np.int64)))
     return _ordered(done, len(n))
