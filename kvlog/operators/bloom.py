@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 LN2 = math.log(2)
 #: Bits of a filter in one row.
 BLOCK = 1 << 16
+#: Runs whose filters are read together, one bit of a word each.
+LANES = 64
 
 
 def bits(n: Column, rate: float) -> Column:
@@ -109,6 +111,51 @@ def passes(most: int) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def together(runs: DataFrame, sizes: DataFrame, rows: DataFrame, most: int, most_hashes: int, near: int = 1 << 10) -> DataFrame:
+    """Runs side by side, up to ``LANES`` of following numbers, filters of one size and lowest
+    keys that are near for the width of their ranges: ``run_id`` of the first place, ``min_k,
+    max_k`` of all, ``lows, highs`` by place (null where none), ``bf_bits, bf_hashes`` and
+    ``words``, which have for each bit of a filter the places of the runs that have it set by
+    ``rows (run_id, k)``. For filters of at most ``most`` bits and ``most_hashes`` hashes;
+    larger ones fail."""
+    m, h = F.col("bf_bits"), F.col("bf_hashes")
+    fits = F.when((m <= most) & (h <= most_hashes), m).otherwise(F.raise_error(F.lit("a filter is larger than its row")))
+    wide = F.ceil(F.log2(F.col("max_k").cast("long") - F.col("min_k") + 1)).cast("int")
+    cell = F.floor(F.col("min_k") / (F.pow(F.lit(2.0), wide) * near)).cast("long")
+    place = F.pmod(F.col("run_id"), F.lit(LANES)).cast("int")
+    s = sizes.where("bf_bits > 0").select("run_id", fits.alias("bf_bits"), "bf_hashes")
+    lanes = runs.where("min_k is not null").join(s, "run_id").withColumns({"place": place, "first": F.col("run_id") - place, "wide": wide, "cell": cell})
+    side = lanes.groupBy("first", "wide", "cell", "bf_bits", "bf_hashes").agg(F.min("run_id").alias("id"), F.min("min_k").alias("min_k"), F.max("max_k").alias("max_k"), F.collect_list(F.struct("place", "min_k", "max_k")).alias("x"))
+    # The entries of a row of runs meet before they become bits, so few bits travel.
+    own = side.select("id", "first", m, h, F.explode("x.place").alias("place")).withColumn("run_id", F.col("first") + F.col("place")).drop("first")
+    own = rows.select("run_id", "k").join(own, "run_id").repartition("id")
+    x, y = (F.pmod(x, m) for x in key_hashes(F.col("k")))
+    at = F.array(*[F.when(h > i, F.pmod(x + i * y, m)) for i in range(most_hashes)])
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place"))
+    found = own.select("id", one.alias("at"), F.explode(at).alias("bit")).where("bit is not null").groupBy("id", "bit").agg(F.bit_or("at").alias("at"))
+    none = side.select("id", F.explode(F.sequence(F.lit(0).cast("long"), m - 1)).alias("bit"), F.lit(0).cast("long").alias("at"))
+    words = found.unionByName(none).groupBy("id", "bit").agg(F.bit_or("at").alias("at"))
+    words = words.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("bit", "at"))).alias("w"))
+    ranges = F.map_from_entries(F.transform("x", lambda r: F.struct(r["place"], F.struct(r["min_k"], r["max_k"]))))
+    side = side.withColumn("x", F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda i: F.try_element_at(ranges, i)))
+    return side.join(words, "id").select(F.col("first").alias("run_id"), "min_k", "max_k", F.col("x.min_k").alias("lows"), F.col("x.max_k").alias("highs"), m, h, F.col("w.at").alias("words"))
+
+
+def let_through(opened: DataFrame, most: int) -> DataFrame:
+    """``(run_id, k)`` that pass, from keys with the hashes ``x, y`` beside rows of ``together``
+    with filters of at most ``most`` hashes. A key reads a word a hash for all runs of a row."""
+    m, h = F.col("bf_bits"), F.col("bf_hashes")
+    x, y = F.pmod(F.col("x"), m), F.pmod(F.col("y"), m)
+    hit = F.when(h <= most, F.lit(-1).cast("long"))
+    for i in range(most):
+        hit = hit.bitwiseAND(F.when(h > i, F.get("words", F.pmod(x + i * y, m).cast("int"))).otherwise(F.lit(-1).cast("long")))
+    rows = opened.select("run_id", "k", "lows", "highs", hit.alias("hit"))
+    rows = rows.select("*", F.explode(F.array(*map(F.lit, range(LANES)))).alias("place"))
+    yes = F.call_function("shiftrightunsigned", F.col("hit"), F.col("place")).bitwiseAND(F.lit(1).cast("long")) == 1
+    inside = (F.col("k") >= F.get("lows", F.col("place"))) & (F.col("k") <= F.get("highs", F.col("place")))
+    return rows.where(yes & inside).select((F.col("run_id") + F.col("place")).alias("run_id"), "k")
+
+
 def measured_reads(asked: DataFrame, real: DataFrame) -> DataFrame:
     """As ``measured``, from distinct reads ``asked (run_id, k, yes)`` and those of them whose
     key the run has, ``real (run_id, k, yes)``; only counts meet."""

@@ -82,12 +82,14 @@ def gaps(runs: DataFrame, share: float = 0.5) -> DataFrame:
     return best.select("level", "x.start", (F.col("x.start") + F.col("x.m")).alias("stop"), "x.gap_sum")
 
 
-def opened(runs: DataFrame, keys: DataFrame, width: int = 64, step: int = 16) -> DataFrame:
+def opened(runs: DataFrame, keys: DataFrame, width: int = 64, step: int = 16, deal: int = 1) -> DataFrame:
     """``keys (k, ...)`` with each run that a point read of the key opens, when runs are pruned
     by their key range. A run takes buckets of the least width that cuts its range into
-    ``step + 1`` at most; keys go to buckets of the widths taken, so it is an equi-join."""
+    ``step + 1`` at most; keys go to buckets of the widths taken, so it is an equi-join.
+    With ``deal`` the runs of a bucket are dealt to so many, each with all its keys, and
+    tasks are as many as partitions, however few bytes the runs have."""
     size = F.col("max_k").cast("long") - F.col("min_k") + 1
-    widths = [width * step**i for i in range(10) if width * step**i < 2**33]
+    widths = [width * step**i for i in range(33) if width * step**i < 2**33]
     wide = F.lit(widths[-1])
     for w in reversed(widths[:-1]):
         wide = F.when(size <= w * step, w).otherwise(wide)
@@ -95,7 +97,12 @@ def opened(runs: DataFrame, keys: DataFrame, width: int = 64, step: int = 16) ->
     spread = runs.withColumn("_b", F.explode(F.sequence(F.floor(F.col("min_k") / F.col("_w")), F.floor(F.col("max_k") / F.col("_w")))))
     taken = runs.agg(F.collect_set("_w").alias("_ws"))  # one row of ten numbers at most
     asked = keys.crossJoin(F.broadcast(taken)).withColumn("_w", F.explode("_ws")).withColumn("_b", F.floor(F.col("k") / F.col("_w"))).drop("_ws")
-    return asked.join(spread, ["_w", "_b"]).where("k between min_k and max_k").drop("_w", "_b")
+    on = ["_w", "_b"]
+    if deal > 1:
+        on, parts = [*on, "_d"], int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = spread.withColumn("_d", F.pmod(F.xxhash64("run_id"), F.lit(deal)).cast("int")).repartition(parts, *on)
+        asked = asked.withColumn("_d", F.explode(F.array(*map(F.lit, range(deal))))).repartition(parts, *on)
+    return asked.join(spread, on).where("k between min_k and max_k").drop(*on)
 
 
 def touched(runs: DataFrame, keys: DataFrame) -> DataFrame:

@@ -337,21 +337,27 @@ def bloom_sizing(spark, d):
 RATE = 0.1
 
 
-def _probes(spark, d):
-    """Entries; runs with their filters, which are small, since runs are of ``EPOCH``
-    sequence numbers; keys with their hashes; and each key with each run that a read opens."""
+def _asked(spark, d):
+    """Entries, run catalog, sizes of filters, and the keys read, with their hashes."""
     rows, cat = _runs(spark, d)
     keys = _t(spark, d, "customer").select(F.col("c_custkey").cast("int").alias("k")).distinct()
     x, y = B.key_hashes(F.col("k"))
-    keys = keys.select("k", x.alias("x"), y.alias("y"))
-    sizes = B.sizing(cat, RATE)
+    return rows, cat, B.sizing(cat, RATE), keys.select("k", x.alias("x"), y.alias("y"))
+
+
+def _probes(spark, d):
+    """Entries; runs with their filters, which are small, since runs are of ``EPOCH``
+    sequence numbers; keys with their hashes; and each key with each run that a read opens."""
+    rows, cat, sizes, keys = _asked(spark, d)
     runs = B.with_filters(cat, sizes, B.bit_table(rows, sizes), B.BLOCK)
     return rows, runs, keys, R.opened(runs, keys).select("run_id", "k", B.passes(B.most_hashes(RATE)).alias("yes"))
 
 
 @query()
 def bloom_membership(spark, d):
-    return _probes(spark, d)[3].where("yes").select("run_id", "k")
+    rows, cat, sizes, keys = _asked(spark, d)
+    runs = B.together(cat, sizes, rows, B.BLOCK, B.most_hashes(RATE))
+    return B.let_through(R.opened(runs, keys, step=8, deal=4), B.most_hashes(RATE))
 
 
 @query()

@@ -55,3 +55,34 @@ def test_membership_reads_each_key_once(spark):
     found = [tuple(r) for r in got.collect()]
     assert len(found) == len(yes) and set(found) == yes
     assert B.most_hashes(0.1) >= 3 and all(r.bf_hashes <= B.most_hashes(e) for e in (0.5, 0.1, 0.01, 1e-6) for r in B.sizing(spark.range(1, 300).selectExpr("1 level", "id run_id", "id cap_entries"), e).collect())
+
+
+def test_runs_are_read_side_by_side(spark):
+    # Runs 0-69 over all keys, 70-79 narrow and far apart (some below 0), 200 and -3 alone,
+    # 201 without any entry that has a key; filters of two sizes and one of none.
+    far = [(r, (-1) ** r * (r - 69) * 100_000 + i) for r in range(70, 80) for i in range(9)]
+    data = [(r, (r * 37 + i * 211) % 5000) for r in range(70) for i in range(40)] + far + [(200, 7), (-3, 7), (-3, 4000), (201, None)]
+    rows = spark.createDataFrame(data, "run_id long, k int").distinct()
+    runs = rows.groupBy("run_id").agg(F.min("k").alias("min_k"), F.max("k").alias("max_k"))
+    sizes = B.sizing(runs.select(F.lit(1).alias("level"), "run_id", F.when(F.col("run_id") % 5 == 0, 20).otherwise(45).cast("long").alias("cap_entries")), 0.1)
+    sizes = sizes.withColumn("bf_bits", F.when(F.col("run_id") == 9, 0).otherwise(F.col("bf_bits")))
+    keys = spark.createDataFrame([(k,) for k in [None, *range(-20, 5100, 3), *{k for _, k in far}]], "k int").distinct()
+    x, y = B.key_hashes(F.col("k"))
+    wide = B.together(runs, sizes, rows, 1 << 10, 4)
+    got = [tuple(r) for r in B.let_through(R.opened(wide, keys.select("k", x.alias("x"), y.alias("y")), step=4, deal=3), 4).collect()]
+    of = sizes.where("bf_bits > 0").select("run_id", "bf_bits", "bf_hashes")
+    at = B.positions(F.col("k"), F.col("bf_bits"), F.col("bf_hashes")).alias("at")
+    have = {(r.run_id, b) for r in rows.join(of, "run_id").select("run_id", at).collect() for b in r["at"]}
+    asked = keys.crossJoin(runs).where("k between min_k and max_k").join(of, "run_id").select("run_id", "k", at).collect()
+    want = {(r.run_id, r.k) for r in asked if all((r.run_id, b) in have for b in r["at"])}
+    assert len(got) == len(want) and set(got) == want and {200, -3, 79} <= {r for r, _ in got} and len(want) < len(asked)
+    # Before, each pair of a run and a key was a row: here they are read in a few rows a key.
+    assert wide.count() < 30
+    with pytest.raises(Exception, match="larger than its row"):
+        B.together(runs, sizes, rows, 1 << 6, 4).collect()
+
+
+def test_membership_deals_its_work(spark):
+    # Before, the runs' few bytes made Spark put all pairs in one task.
+    plan = queries.bloom_membership(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "words" in plan
