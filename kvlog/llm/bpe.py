@@ -309,9 +309,11 @@ _WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80\xa8", b"\xe2\x80\
 def _white(data: np.ndarray) -> np.ndarray:
     """Which bytes belong to white-space characters."""
     out = _SEP[data]
+    lead = {b: np.flatnonzero(data == b) for b in {seq[0] for seq in _WIDE}}
     for seq in _WIDE:
         if len(data) >= len(seq):
-            at = np.flatnonzero(data[: len(data) - len(seq) + 1] == seq[0])
+            at = lead[seq[0]]
+            at = at[at <= len(data) - len(seq)]
             for j in range(1, len(seq)):
                 at = at[data[at + j] == seq[j]]
             for j in range(len(seq)):

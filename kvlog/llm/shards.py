@@ -41,24 +41,28 @@ class Plane:
     def __init__(self, n: int, zeros: int, before: np.ndarray, bodies: list):
         self.n, self.zeros, self.before, self.bodies = n, zeros, before, bodies
         self.open: dict[int, np.ndarray] = {}
+        self.words: dict[int, np.ndarray] = {}
 
-    def block(self, b: int) -> np.ndarray:
-        """Ones before each bit of the block and after its last."""
+    def block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """The block's bits as 64-bit words, with an empty one after them, and ones before each."""
         if b not in self.open:
-            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.bodies[b]), np.uint8)
-            bits = np.unpackbits(raw, count=min(_BLOCK, self.n - b * _BLOCK), bitorder="little")
-            ones = np.zeros(len(bits) + 1, np.int32)
-            np.cumsum(bits, out=ones[1:])
-            self.open[b] = ones
-        return self.open[b]
+            raw = zstandard.ZstdDecompressor().decompress(self.bodies[b])
+            words = np.frombuffer(raw + bytes(8 + -len(raw) % 8), "<u8")
+            ones = np.zeros(len(words) + 1, np.int32)
+            np.cumsum(np.bitwise_count(words), out=ones[1:])
+            self.words[b], self.open[b] = words, ones
+        return self.words[b], self.open[b]
 
     def rank(self, i: np.ndarray) -> np.ndarray:
         """Ones before each place."""
         at = np.minimum(i // _BLOCK, len(self.bodies) - 1)
         out = self.before[at].copy()
         for b in np.unique(at).tolist():
-            own = at == b
-            out[own] += self.block(b)[i[own] - b * _BLOCK]
+            own, (words, ones) = np.flatnonzero(at == b), self.block(b)
+            place = i[own] - b * _BLOCK
+            word = place >> 6
+            below = (np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)
+            out[own] += ones[word] + np.bitwise_count(words[word] & below)
         return out
 
     def select(self, bit: int, j: np.ndarray) -> np.ndarray:
@@ -68,10 +72,15 @@ class Plane:
         at = np.searchsorted(many, j, "right") - 1
         out = np.empty(len(j), np.int64)
         for b in np.unique(at).tolist():
-            own, ones = at == b, self.block(b)
-            sums = ones if bit else np.arange(len(ones), dtype=np.int32) - ones
-            # Numbers of one width: otherwise the whole block is widened for the search.
-            out[own] = b * _BLOCK + np.searchsorted(sums, (j[own] - many[b]).astype(np.int32), "right") - 1
+            own, (words, ones) = np.flatnonzero(at == b), self.block(b)
+            sums = ones if bit else 64 * np.arange(len(ones), dtype=np.int32) - ones
+            # Numbers of one width: otherwise all sums are widened for the search.
+            left = (j[own] - many[b]).astype(np.int32)
+            word = np.searchsorted(sums, left, "right") - 1
+            found = words[word] if bit else ~words[word]
+            inside = np.unpackbits(found.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            inside = (np.cumsum(inside, axis=1, dtype=np.uint8) <= (left - sums[word])[:, None]).sum(1)
+            out[own] = b * _BLOCK + 64 * word + inside
         return out
 
     def bits(self) -> np.ndarray:
