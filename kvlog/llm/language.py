@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from kvlog.llm.common import NULL_KEY, doc_id, drop, partitions, save, ship
 from kvlog.llm.seating import start, sweep
-from kvlog.llm.text import U, mix, slices, words
+from kvlog.llm.text import U, give_back, mix, slices, words
 
 #: Sweeps before the first sample, samples.
 BURN_IN, SAMPLES = 3, 3
@@ -130,6 +130,7 @@ def _edges(shards: int) -> np.ndarray:
 def _name(key, rows):
     """Numbers within the shard and training counts for the words of each chunk; the own
     row has the counts by number, and words, training words and training tokens."""
+    give_back()
     chunks = rows.column("other").to_pylist()
     hs = [np.cumsum(expand(x, "<u8"), dtype=U) for x in rows.column("a").to_pylist()]
     word, at = np.unique(np.concatenate(hs), return_inverse=True)
@@ -162,6 +163,7 @@ def _ask(shards: int):
     they ask: pairs of the pair shards, with their training counts."""
 
     def run(key, chunk, names):
+        give_back()
         names = names.take(np.argsort(names.column("shard").to_numpy()))
         get = lambda n, kind="<i8": expand(chunk.column(n)[0].as_py(), kind)
         place = np.concatenate([expand(x) for x in names.column("a").to_pylist()])
@@ -194,6 +196,7 @@ def _by(shard: np.ndarray, shards: int):
 
 def _learn(key, rows):
     """One shard of pairs: words, contexts and training counts, in order of the first two."""
+    give_back()
     w = np.concatenate([_risen(x) for x in rows.column("a").to_pylist()])
     u = np.concatenate([expand(x) for x in rows.column("b").to_pylist()])
     n = np.concatenate([expand(x, "<u4") for x in rows.column("c").to_pylist()]).astype(np.int64)
@@ -262,6 +265,7 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 def _node(key, rows):
     """The first state of a node shard: one table a pair."""
+    give_back()
     other = rows.column("other").to_pylist()
     at = other.index(_OWN)
     counts = expand(rows.column("a")[at].as_py())
@@ -327,6 +331,7 @@ def _move(totals: Totals, number: int, keep: bool, shards: int):
     words and how many contexts each node shard tells of."""
 
     def run(key, rows):
+        give_back()
         p, other = key[0].as_py(), rows.column("other").to_pylist()
         at = other.index(_OWN)
         a, b, c, d, e, f, many = (rows.column(n)[at].as_py() for n in (*_LETTERS, "stats"))
@@ -355,6 +360,7 @@ def _update(totals: Totals, number: int, keep: bool):
     """A node shard takes up what the pair shards tell, and moves the parent's customers."""
 
     def run(key, state, told):
+        give_back()
         get = lambda n: state.column(n)[0].as_py()
         tables, m = expand(get("tables")).copy(), expand(get("customers"))
         change = np.zeros(len(m), np.int64)
@@ -392,6 +398,7 @@ def _answer_nodes(totals: list[Totals]):
     leave to the parent and the parent's probability of them, by samples."""
 
     def run(key, asks, state):
+        give_back()
         kept = [expand(x) for x in state.column("kept")[0].as_py()]
         counts = expand(state.column("counts")[0].as_py())
         rest = [THETA + x.d * kept[3 * s] for s, x in enumerate(totals)]
@@ -410,6 +417,7 @@ def _answer_pairs(d: float, samples: int):
     customers, as a mean over the samples."""
 
     def run(key, asks, model):
+        give_back()
         if model.num_rows:
             w, u, n = _model(*[model.column(x)[0].as_py() for x in "abc"])
             total = np.full(len(n), samples, np.int64)
@@ -444,6 +452,7 @@ def _places(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def _finish(tokens: int, types: int, samples: int, shards: int):
     def run(key, chunk, answers):
+        give_back()
         answers = answers.take(np.argsort(answers.column("shard").to_numpy(), kind="stable"))
         get = lambda n, kind="<i8": expand(chunk.column(n)[0].as_py(), kind)
         parts = lambda n, kind: [expand(x, kind) for x in answers.column(n).to_pylist() if x is not None]

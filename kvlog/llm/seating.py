@@ -24,6 +24,9 @@ import numpy as np
 MOVES = 16
 #: Cells of a table of sizes that is worked on at once.
 CELLS = 2_000_000
+#: Numbers of customers at new tables, few and more, and weights of one, whose laws come from
+#: one table; what its powers are scaled by, as doubles would not hold them.
+TERMS, HEAVY, SCALE = (128, 256), 100.0, 30.0
 
 
 def _join(sizes: np.ndarray, rows: np.ndarray, weight: np.ndarray, d: float, rng) -> None:
@@ -93,37 +96,101 @@ def start(n: np.ndarray, weight: np.ndarray, d: float, rng, moves: int = MOVES)
     return _ordered(done, len(n))
 
 
+_found: dict[float, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(d: float) -> tuple[np.ndarray, np.ndarray]:
+    """``c_j``, and for each k and m what ``(weight / SCALE)^k`` counts for in ``a_m``: the
+    coefficients of ``((1-(1-z)^d) SCALE / d)^k / k!``. All are positive, so nothing cancels.
+    They fit all dishes."""
+    if d not in _found:
+        _found.clear()
+        j = np.arange(1, TERMS[-1] + 1)
+        c, out = np.concatenate([[1.0], np.cumprod((j - d) / j)]), np.zeros((len(j) + 1, len(j) + 1))
+        out[0, 0] = 1.0
+        for k in range(len(j)):
+            out[k + 1, 1:] = np.convolve(out[k], c)[: len(j)] * SCALE / j
+        _found[d] = c, out
+    return _found[d]
+
+
+def _from_powers(n: np.ndarray, total: np.ndarray, weight: np.ndarray, d: float, most: int):
+    """Logarithms of ``a_m`` and of the law of m up to ``most``, and which rows that is enough for."""
+    powers = _powers(d)[1][: most + 1, : most + 1]
+    # Powers past these count for nothing, least of all for smaller weights.
+    parts = (weight.max() / SCALE) ** np.arange(most + 1)[:, None] * powers
+    last = np.flatnonzero((parts > 1e-20 * parts.sum(0)).any(1))[-1] + 1
+    with np.errstate(divide="ignore"):
+        loga = np.log((weight[:, None] / SCALE) ** np.arange(last) @ powers[:last])
+        fall = np.log(np.maximum(n[:, None] - np.arange(most), 0)) - np.log(total)[:, None]
+    logb = loga.copy()
+    logb[:, 1:] += np.cumsum(fall, axis=1)
+    # Past the mode the terms only fall, faster and faster.
+    whole = (n <= most) | ((logb[:, -4:] < logb.max(1)[:, None] - 60) & (logb[:, -4:] <= logb[:, -5:-1])).all(1)
+    return loga, logb, whole
+
+
 def _terms(n: np.ndarray, total: np.ndarray, weight: np.ndarray, d: float):
-    """Logarithms of ``a_m`` and of the law of m, a row a dish; m goes on until what is left
-    out is below what doubles tell apart."""
-    room, many = 64, len(n)
-    log_c, loga, logb = [0.0], np.full((many, room), -np.inf), np.full((many, room), -np.inf)
+    """Logarithms of ``c_j``, of ``a_m`` and of the law of m, a row a dish, so far that what is
+    left out is below what doubles tell apart: from one table of powers where that is long
+    enough, else term by term."""
+    done, log_c, rest = [], np.log(_powers(d)[0]), np.arange(len(n))
+    for terms in TERMS:
+        rows = rest[weight[rest] <= HEAVY]
+        if len(rows):
+            loga, logb, whole = _from_powers(n[rows], total[rows], weight[rows], d, min(int(n[rows].max()), terms))
+            if whole.all() and len(rows) == len(n):
+                return log_c[: loga.shape[1]], loga, logb
+            done.append((rows[whole], loga[whole], logb[whole]))
+            rest = np.setdiff1d(rest, rows[whole], assume_unique=True)
+    if len(rest):
+        long_c, *more = _term_by_term(n[rest], total[rest], weight[rest], d)
+        log_c = long_c if len(long_c) > len(log_c) else log_c
+        done.append((rest, *more))
+    out = [np.full((len(n), max(x.shape[1] for _, x, _ in done)), -np.inf) for _ in range(2)]
+    for rows, *own in done:
+        for to, x in zip(out, own):
+            to[rows, : x.shape[1]] = x
+    return log_c[: out[0].shape[1]], *out
+
+
+def _term_by_term(n: np.ndarray, total: np.ndarray, weight: np.ndarray, d: float):
+    """The same, each term from those before; a few at a time are weighed."""
+    room, many, step = 64, len(n), 8
+    loga, logb = (np.zeros((many, 1)) for _ in range(2))
     a, shift = np.zeros((many, room)), np.zeros(many)  # a_m / exp(shift)
-    a[:, 0], loga[:, 0], logb[:, 0] = 1.0, 0.0, 0.0
-    c, fall, top, log_total, log_n, m = np.ones(1), np.zeros(many), np.zeros(many), np.log(total), int(n.max()), 0
-    low = np.zeros(many, np.int64)  # terms in a row that count for nothing
-    while m < log_n and (low < 4).any():
-        if m + 1 == room:
-            loga, logb, a = (np.concatenate([x, np.full_like(x, fill)], axis=1) for x, fill in ((loga, -np.inf), (logb, -np.inf), (a, 0.0)))
+    a[:, 0] = 1.0
+    c, log_total, log_n, m = np.ones(1), np.log(total)[:, None], int(n.max()), 0
+    found, fallen = [(loga, logb)], np.zeros((many, 1))
+    top, before, low = np.zeros(many), logb, np.zeros(many, bool)
+    while m < log_n and not low.all():
+        to = min(m + step, log_n)
+        if to >= room:
+            a = np.concatenate([a, np.zeros_like(a)], axis=1)
             room *= 2
-        if len(c) <= m:
+        if len(c) <= to:
             j = np.arange(1, room)
             c = np.concatenate([[1.0], np.cumprod((j - d) / j)])
-        new = weight * (a[:, : m + 1] @ c[m::-1]) / (m + 1)
-        a[:, m + 1] = new
-        great = np.flatnonzero(new > 1e200)
+        for i in range(m, to):
+            a[:, i + 1] = weight * (a[:, : i + 1] @ c[i::-1]) / (i + 1)
+        with np.errstate(divide="ignore"):
+            loga = np.log(a[:, m + 1 : to + 1]) + shift[:, None]
+            fall = np.log(np.maximum(n[:, None] - np.arange(m, to), 0)) - log_total
+        great = np.flatnonzero(a[:, to] > 1e200)
         if len(great):
-            a[great, : m + 2] *= 1e-200
+            a[great, : to + 1] *= 1e-200
             shift[great] += 200 * np.log(10)
-        with np.errstate(divide="ignore"):
-            loga[:, m + 1] = np.log(a[:, m + 1]) + shift
-            fall = fall + np.log(np.maximum(n - m, 0)) - log_total
-        m += 1
-        logb[:, m] = loga[:, m] + fall
-        top = np.maximum(top, logb[:, m])
+        fall = fallen + np.cumsum(fall, axis=1)
+        logb, fallen, m = loga + fall, fall[:, -1:], to
+        found.append((loga, logb))
+        top = np.maximum(top, logb.max(1))
         # Past the mode the terms only fall, faster and faster.
-        low = np.where((logb[:, m] < top - 60) & (logb[:, m] <= logb[:, m - 1]), low + 1, 0)
-    return np.log(c[: m + 1]) if len(c) > m else np.log(np.concatenate([[1.0], np.cumprod((np.arange(1, m + 1) - d) / np.arange(1, m + 1))])), loga[:, : m + 1], logb[:, : m + 1]
+        last = np.concatenate([before, logb], axis=1)[:, -5:]
+        low = ((last[:, 1:] < top[:, None] - 60) & (last[:, 1:] <= last[:, :-1])).all(1) & (last.shape[1] == 5)
+        before = last
+    if len(c) <= m:
+        c = np.concatenate([[1.0], np.cumprod((np.arange(1, m + 1) - d) / np.arange(1, m + 1))])
+    return np.log(c[: m + 1]), *(np.concatenate(x, axis=1) for x in zip(*found))
 
 
 def _draw(logs: np.ndarray, rng) -> np.ndarray:
@@ -158,12 +225,12 @@ def _at_once(x: np.ndarray, weight: np.ndarray, d: float, rng) -> tuple[np.ndarr
     m = _draw(logb, rng)
     old = rng.multinomial(n - m, jumps / total[:, None])
     own, sizes = [np.nonzero(old)[0]], [old[old > 0]]
-    rows = np.flatnonzero(m)
+    rows, width, flat = np.flatnonzero(m), loga.shape[1], loga.ravel()
     while len(rows):
         # The table of the first of the m: s customers with weight c_(s-1) a_(m-s).
         most = int(m[rows].max())
         at = m[rows][:, None] - 1 - np.arange(most)
-        logs = np.where(at >= 0, log_c[:most] + np.take_along_axis(loga[rows], np.maximum(at, 0), 1), -np.inf)
+        logs = np.where(at >= 0, log_c[:most] + flat[rows[:, None] * width + np.maximum(at, 0)], -np.inf)
         s = _draw(logs, rng) + 1
         own.append(rows)
         sizes.append(s)
@@ -218,7 +285,7 @@ def sweep(tables: np.ndarray, sizes: np.ndarray, weight: np.ndarray, d: float, r
     for rows, x in late:
         # Dishes of about equal size together: their sums are about equally long.
         for part in _blocks(after[rows]):
-            for at in np.array_split(part, max(1, len(part) // 4096)):
+            for at in np.array_split(part, -(-len(part) // 1024)):
                 i, size = _at_once(x[at], weight[rows[at]], d, rng)
                 done.append((rows[at][i], size.astype(np.int64)))
     return _ordered(done, len(n))

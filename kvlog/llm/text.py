@@ -78,10 +78,10 @@ def slices(batch: pa.RecordBatch, col: str = "text") -> Iterator[pa.RecordBatch]
         to = min(max(to, at + 1), n)
         yield batch.slice(at, to - at)
         at = to
-    _give_back()
+    give_back()
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system: a worker lives on beside other operators' workers."""
     pa.default_memory_pool().release_unused()
     if _LIBC is not None:
