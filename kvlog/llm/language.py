@@ -62,17 +62,25 @@ def squeeze(x, kind: str = "<i8") -> bytes:
     """Compressed byte by byte: the high bytes of small numbers cost nothing. The first
     byte tells of whole numbers that are kept in four bytes."""
     a = np.ascontiguousarray(x, kind)
-    short = kind == "<i8" and len(a) > 0 and a.min() >= 0 and a.max() < 2**32
+    top = int(a.max()) if kind == "<i8" and len(a) else 2**32
+    short = 0 <= top < 2**32 and a.min() >= 0
     if short:
         a = a.astype("<u4")
-    return bytes([bool(short)]) + _squeezer.compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
+    out = np.zeros((a.itemsize, len(a)), np.uint8)
+    raw = a.view(np.uint8).reshape(-1, a.itemsize)
+    for k in range((top.bit_length() + 7) // 8 if short else a.itemsize):
+        out[k] = raw[:, k]
+    return bytes([bool(short)]) + _squeezer.compress(out)
 
 
 def expand(data: bytes, kind: str = "<i8") -> np.ndarray:
-    own = "<u4" if data[0] else kind
-    raw = np.frombuffer(_expander.decompress(memoryview(data)[1:]), np.uint8)
-    out = np.ascontiguousarray(raw.reshape(np.dtype(own).itemsize, -1).T).view(own).ravel()
-    return out.astype(kind) if data[0] else out
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(_expander.decompress(memoryview(data)[1:]), np.uint8).reshape(4 if data[0] else size, -1)
+    out = np.zeros((raw.shape[1], size), np.uint8)
+    for k, own in enumerate(raw[:size]):
+        if own.any():
+            out[:, k] = own
+    return out.reshape(-1).view(kind)
 
 
 def _rising(x) -> bytes:

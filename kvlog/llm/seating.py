@@ -29,24 +29,35 @@ CELLS = 2_000_000
 TERMS, HEAVY, SCALE = (128, 256), 100.0, 30.0
 
 
-def _join(sizes: np.ndarray, rows: np.ndarray, weight: np.ndarray, d: float, rng) -> None:
-    """Seat one more customer of each of the ``rows``."""
-    own = sizes if len(rows) == len(sizes) else sizes[rows]
-    at = np.cumsum(np.where(own > 0, own - d, 0), axis=1)
-    x = rng.random(len(rows)) * (weight + at[:, -1])
-    spot = (at <= x[:, None]).sum(1)
-    new = np.flatnonzero(x >= at[:, -1])
-    spot[new] = (own[new] == 0).argmax(1)
-    sizes[rows, spot] += 1
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Running sums down the columns, in place; few rows one by one, which is faster."""
+    if len(x) > 64:
+        return np.cumsum(x, axis=0, out=x)
+    for j in range(1, len(x)):
+        x[j] += x[j - 1]
+    return x
 
 
-def _leave(sizes: np.ndarray, rows: np.ndarray, rng) -> None:
-    """Take one customer of each of the ``rows`` away."""
-    at = np.cumsum(sizes if len(rows) == len(sizes) else sizes[rows], axis=1)
-    sizes[rows, (at <= (rng.random(len(rows)) * at[:, -1])[:, None]).sum(1)] -= 1
+def _join(sizes: np.ndarray, dishes: np.ndarray, weight: np.ndarray, d: float, rng) -> None:
+    """Seat one more customer of each of the ``dishes``, the columns of ``sizes``."""
+    own = sizes if len(dishes) == sizes.shape[1] else sizes[:, dishes]
+    at = own - d
+    at = _sums(np.maximum(at, 0, out=at))
+    x = rng.random(len(dishes)) * (weight + at[-1])
+    spot = (at <= x).sum(0)
+    new = np.flatnonzero(x >= at[-1])
+    spot[new] = (own[:, new] == 0).argmax(0)
+    sizes[spot, dishes] += 1
+
+
+def _leave(sizes: np.ndarray, dishes: np.ndarray, rng) -> None:
+    """Take one customer of each of the ``dishes`` away."""
+    at = _sums(sizes.copy() if len(dishes) == sizes.shape[1] else sizes[:, dishes])
+    sizes[(at <= rng.random(len(dishes)) * at[-1]).sum(0), dishes] -= 1
 
 
 def _flat(rows: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = np.ascontiguousarray(x.T)
     live = x > 0
     return np.repeat(rows, live.sum(1)), x[live].astype(np.int64)
 
@@ -80,18 +91,18 @@ def start(n: np.ndarray, weight: np.ndarray, d: float, rng, moves: int = MOVES)
     late = np.minimum(late, n - many)
     done = []
     for rows in _blocks(many + late):
-        x = np.zeros((len(rows), int((many + late)[rows].max()) + 1))
-        x[:, 0] = n[rows] > 0
+        x = np.zeros((int((many + late)[rows].max()) + 1, len(rows)))
+        x[0] = n[rows] > 0
         for j in range(1, int(many[rows].max())):
             live = np.flatnonzero(many[rows] > j)
             _join(x, live, weight[rows[live]], d, rng)
         for i in np.flatnonzero(n[rows] > many[rows]).tolist():
-            own, r = np.flatnonzero(x[i] > 0), rows[i]
+            own, r = np.flatnonzero(x[:, i] > 0), rows[i]
             rest = int(n[r] - many[r] - late[r])
-            share = np.floor(rest * (x[i, own] - d) / (x[i, own] - d).sum())
+            share = np.floor(rest * (x[own, i] - d) / (x[own, i] - d).sum())
             share[0] += rest - share.sum()
-            x[i, own] += share
-            x[i, len(own) : len(own) + late[r]] = 1
+            x[own, i] += share
+            x[len(own) : len(own) + late[r], i] = 1
         done.append(_flat(rows, x))
     return _ordered(done, len(n))
 
@@ -266,8 +277,8 @@ def sweep(tables: np.ndarray, sizes: np.ndarray, weight: np.ndarray, d: float, r
         rows = todo[rows]
         t = tables[rows]
         at = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
-        x = np.zeros((len(rows), int(width[rows].max()) + 1))
-        x[np.repeat(np.arange(len(rows)), t), at] = sizes[np.repeat(begin[rows], t) + at]
+        x = np.zeros((int(width[rows].max()) + 1, len(rows)))
+        x[at, np.repeat(np.arange(len(rows)), t)] = sizes[np.repeat(begin[rows], t) + at]
         for j in range(int(np.abs(change[rows]).max())):
             come, go = np.flatnonzero(change[rows] > j), np.flatnonzero(change[rows] < -j)
             if len(come):
@@ -279,9 +290,9 @@ def sweep(tables: np.ndarray, sizes: np.ndarray, weight: np.ndarray, d: float, r
             _leave(x, live, rng)
             _join(x, live, weight[rows[live]], d, rng)
         own = great[rows]
-        done.append(_flat(rows[~own], x[~own]))
+        done.append(_flat(rows[~own], x[:, ~own]))
         if own.any():
-            late.append((rows[own], x[own]))
+            late.append((rows[own], np.ascontiguousarray(x[:, own].T)))
     for rows, x in late:
         # Dishes of about equal size together: their sums are about equally long.
         for part in _blocks(after[rows]):
