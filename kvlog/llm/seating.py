@@ -292,11 +292,17 @@ def sweep(tables: np.ndarray, sizes: np.ndarray, weight: np.ndarray, d: float, r
         own = great[rows]
         done.append(_flat(rows[~own], x[:, ~own]))
         if own.any():
-            late.append((rows[own], np.ascontiguousarray(x[:, own].T)))
-    for rows, x in late:
-        # Dishes of about equal size together: their sums are about equally long.
-        for part in _blocks(after[rows]):
-            for at in np.array_split(part, -(-len(part) // 1024)):
-                i, size = _at_once(x[at], weight[rows[at]], d, rng)
-                done.append((rows[at][i], size.astype(np.int64)))
+            late.append(_flat(rows[own], x[:, own]))
+    t, own = _ordered(late, len(n))
+    begin, great = np.cumsum(t) - t, np.flatnonzero(great)
+    # Dishes of about equal size together: their sums are about equally long.
+    for part in _blocks(after[great]):
+        # Neither tables nor terms of a dish are more than its customers, double the least here.
+        for rows in np.array_split(great[part], -(-len(part) // max(1, min(1024, CELLS // 8 // int(after[great[part]].max()))))):
+            i = np.repeat(np.arange(len(rows)), t[rows])
+            at = np.arange(len(i)) - np.repeat(np.cumsum(t[rows]) - t[rows], t[rows])
+            x = np.zeros((len(rows), int(t[rows].max())))
+            x[i, at] = own[np.repeat(begin[rows], t[rows]) + at]
+            i, size = _at_once(x, weight[rows], d, rng)
+            done.append((rows[i], size.astype(np.int64)))
     return _ordered(done, len(n))
