@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from kvlog.llm.common import NULL_KEY, doc_id, drop, partitions, save, ship
 from kvlog.llm.seating import start, sweep
-from kvlog.llm.text import U, give_back, mix, slices, words
+from kvlog.llm.text import U, ascending, distinct, give_back, mix, slices, words
 
 #: Sweeps before the first sample, samples.
 BURN_IN, SAMPLES = 3, 3
@@ -115,7 +115,7 @@ def _words(shards: int):
 
     def run(batches):
         for keys, train, h, sizes in _chunks(batches):
-            word, token = np.unique(np.append(h, _START), return_inverse=True)
+            word, token = distinct(np.append(h, _START))
             first, token = token[-1], token[:-1]
             seen = np.bincount(token, np.repeat(train, sizes), len(word)).astype(np.int64)
             seen[first] = train.sum()
@@ -141,14 +141,14 @@ def _name(key, rows):
     give_back()
     chunks = rows.column("other").to_pylist()
     hs = [np.cumsum(expand(x, "<u8"), dtype=U) for x in rows.column("a").to_pylist()]
-    word, at = np.unique(np.concatenate(hs), return_inverse=True)
+    word, at = distinct(np.concatenate(hs))
     count = np.bincount(at, np.concatenate([expand(x, "<u4") for x in rows.column("b").to_pylist()]), len(word)).astype(np.int64)
-    order = np.argsort(-count, kind="stable")
+    falling = np.argsort(-count, kind="stable")
     number = np.empty(len(word), np.int64)
-    number[order] = np.arange(len(word))
+    number[falling] = np.arange(len(word))
     real = word != _START
     q, cuts = key[0].as_py(), np.cumsum([0, *map(len, hs)])
-    out = [(q, _OWN, squeeze(count[order]), None, None, None, None, None, [int((count[real] > 0).sum()), int(count[real].sum())])]
+    out = [(q, _OWN, squeeze(count[falling]), None, None, None, None, None, [int((count[real] > 0).sum()), int(count[real].sum())])]
     for chunk, a, b in zip(chunks, cuts, cuts[1:]):
         out.append((q, chunk, squeeze(number[at[a:b]]), squeeze(count[at[a:b]])))
     return _rows(out)
@@ -158,7 +158,7 @@ def _pairs(token: np.ndarray, sizes: np.ndarray, first: int, many: int):
     """Distinct (word, context) pairs of a chunk and each token's pair."""
     before = np.append(first, token[:-1])
     before[np.cumsum(sizes)[:-1]] = first
-    pair, at = np.unique(token * np.int64(many) + before, return_inverse=True)
+    pair, at = distinct(token * np.int64(many) + before)
     return pair // many, pair % many, at
 
 
@@ -178,10 +178,10 @@ def _ask(shards: int):
         count = np.concatenate([expand(x) for x in names.column("b").to_pylist()])
         own = np.repeat(np.arange(shards), get("e", "<u4"))
         gid = place * shards + own
-        order = np.argsort(gid)
+        rising = ascending(gid)
         rank = np.empty(len(gid), np.int64)
-        rank[order] = np.arange(len(gid))
-        gid, count, token, first = gid[order], count[order], rank[get("d", "<u4")], int(rank[get("f")[0]])
+        rank[rising] = np.arange(len(gid))
+        gid, count, token, first = gid[rising], count[rising], rank[get("d", "<u4")], int(rank[get("f")[0]])
         sizes, train, chunk_id = get("b", "<u4").astype(np.int64), get("c", "u1"), key[0].as_py()
         out = [(-1, chunk_id, chunk.column("a")[0].as_py(), chunk.column("b")[0].as_py(), squeeze(token, "<u4"), _rising(gid), squeeze(count), squeeze([first]))]
         w, u, at = _pairs(token, sizes, first, len(gid))
@@ -208,9 +208,9 @@ def _learn(key, rows):
     w = np.concatenate([_risen(x) for x in rows.column("a").to_pylist()])
     u = np.concatenate([expand(x) for x in rows.column("b").to_pylist()])
     n = np.concatenate([expand(x, "<u4") for x in rows.column("c").to_pylist()]).astype(np.int64)
-    order = np.flatnonzero(n)
-    order = order[_order(w[order], u[order])]
-    w, u, n = w[order], u[order], n[order]
+    at = np.flatnonzero(n)
+    at = at[_order(w[at], u[at])]
+    w, u, n = w[at], u[at], n[at]
     new = np.ones(len(w), bool)
     new[1:] = (w[1:] != w[:-1]) | (u[1:] != u[:-1])
     n = np.add.reduceat(n, np.flatnonzero(new)) if len(n) else n
@@ -219,8 +219,9 @@ def _learn(key, rows):
 
 def _order(w: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Order of pairs; as one number each, where they are small enough."""
-    if len(w) and max(w.max(), u.max()) < 2**31:
-        return np.argsort(w << 32 | u, kind="stable")
+    many = int(u.max()) + 1 if len(u) else 1
+    if len(w) and (int(w.max()) + 1) * many < 2**63:
+        return ascending(w * many + u)
     return np.lexsort((u, w))
 
 

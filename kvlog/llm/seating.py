@@ -56,6 +56,53 @@ def _leave(sizes: np.ndarray, dishes: np.ndarray, rng) -> None:
     sizes[(at <= rng.random(len(dishes)) * at[-1]).sum(0), dishes] -= 1
 
 
+def _come(sizes: np.ndarray, many: int, weight: float, d: float, rng) -> np.ndarray:
+    """The tables of a dish after ``many`` more customers sat down one after the other. When
+    new tables open depends on how many there are; until the next one the others fill as an
+    urn does, which is one draw."""
+    n = int(sizes.sum())
+    while many:
+        old = weight + n - d * len(sizes)  # what all tables and a new one weigh
+        step, free, found = int(2 * old / weight) + 16, 0, False
+        while free < many and not found:
+            x = rng.random(min(step, many - free, CELLS))
+            hit = x * (old + free + np.arange(len(x))) < weight
+            found = bool(hit.any())
+            free += int(hit.argmax()) if found else len(x)
+        if free:
+            jumps = rng.standard_gamma(sizes - d)
+            sizes = sizes + rng.multinomial(free, jumps / jumps.sum())
+        if found:
+            sizes = np.append(sizes, 1)
+        n, many = n + free + found, many - free - found
+    return sizes
+
+
+def _go(sizes: np.ndarray, many: int, rng) -> np.ndarray:
+    """The tables of a dish after ``many`` customers, chosen evenly, went."""
+    ends = np.cumsum(sizes)
+    n = int(ends[-1])
+    less, picked = min(many, n - many), np.zeros(0, np.int64)
+    while len(picked) < less:
+        picked = np.unique(np.append(picked, rng.integers(0, n, less - len(picked))))
+    picked = np.bincount(np.searchsorted(ends, picked, "right"), minlength=len(sizes))
+    out = picked if less < many else sizes - picked
+    return out[out > 0]
+
+
+def _change(tables: np.ndarray, sizes: np.ndarray, weight: np.ndarray, d: float, rng, change: np.ndarray, rows: np.ndarray):
+    """Tables by dish and sizes after the changes of some dishes."""
+    ends = np.cumsum(tables)
+    others = np.ones(len(tables), bool)
+    others[rows] = False
+    done = [(np.repeat(np.flatnonzero(others), tables[others]), sizes[np.repeat(others, tables)])]
+    for i in rows.tolist():
+        own, many = sizes[ends[i] - tables[i] : ends[i]], int(change[i])
+        own = _come(own, many, weight[i], d, rng) if many > 0 else _go(own, -many, rng)
+        done.append((np.full(len(own), i), own))
+    return _ordered(done, len(tables))
+
+
 def _flat(rows: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = np.ascontiguousarray(x.T)
     live = x > 0
@@ -91,18 +138,21 @@ def start(n: np.ndarray, weight: np.ndarray, d: float, rng, moves: int = MOVES)
     late = np.minimum(late, n - many)
     done = []
     for rows in _blocks(many + late):
+        rows = rows[np.argsort(-many[rows], kind="stable")]  # those with more to come stand first
         x = np.zeros((int((many + late)[rows].max()) + 1, len(rows)))
         x[0] = n[rows] > 0
         for j in range(1, int(many[rows].max())):
-            live = np.flatnonzero(many[rows] > j)
-            _join(x, live, weight[rows[live]], d, rng)
-        for i in np.flatnonzero(n[rows] > many[rows]).tolist():
-            own, r = np.flatnonzero(x[:, i] > 0), rows[i]
-            rest = int(n[r] - many[r] - late[r])
-            share = np.floor(rest * (x[own, i] - d) / (x[own, i] - d).sum())
-            share[0] += rest - share.sum()
-            x[own, i] += share
-            x[len(own) : len(own) + late[r], i] = 1
+            live = np.arange(np.count_nonzero(many[rows] > j))
+            _join(x[:, : len(live)], live, weight[rows[live]], d, rng)
+        great = np.flatnonzero(n[rows] > many[rows])
+        if len(great):
+            own, r = x[:, great], rows[great]
+            opened, rest = (own > 0).sum(0), n[r] - many[r] - late[r]
+            share = np.maximum(own - d, 0)
+            share = np.floor(share / share.sum(0) * rest)
+            share[0] += rest - share.sum(0)
+            place = np.arange(len(x))[:, None]
+            x[:, great] = own + share + ((place >= opened) & (place < opened + late[r]))
         done.append(_flat(rows, x))
     return _ordered(done, len(n))
 
@@ -225,9 +275,10 @@ def _stable(weight: np.ndarray, d: float, rng) -> np.ndarray:
     return out
 
 
-def _at_once(x: np.ndarray, weight: np.ndarray, d: float, rng) -> tuple[np.ndarray, np.ndarray]:
+def _at_once(x: np.ndarray, weight: np.ndarray, d: float, rng):
     """Seat all customers of the dishes anew, whose tables are the rows of ``x``. Returns the
-    row and the size of each table."""
+    row and the size of each table that stays, how many customers of each row are at new
+    tables, and of these the logarithms of ``c_j``, and of ``a_j`` to that number, row after row."""
     n = x.sum(1).astype(np.int64)
     jumps = rng.standard_gamma(np.where(x > 0, x - d, 1)) * (x > 0)
     total = jumps.sum(1)
@@ -235,19 +286,29 @@ def _at_once(x: np.ndarray, weight: np.ndarray, d: float, rng) -> tuple[np.ndarr
     log_c, loga, logb = _terms(n, total * (1 + v), weight * (1 + v) ** d, d)
     m = _draw(logb, rng)
     old = rng.multinomial(n - m, jumps / total[:, None])
-    own, sizes = [np.nonzero(old)[0]], [old[old > 0]]
-    rows, width, flat = np.flatnonzero(m), loga.shape[1], loga.ravel()
-    while len(rows):
-        # The table of the first of the m: s customers with weight c_(s-1) a_(m-s).
-        most = int(m[rows].max())
-        at = m[rows][:, None] - 1 - np.arange(most)
-        logs = np.where(at >= 0, log_c[:most] + flat[rows[:, None] * width + np.maximum(at, 0)], -np.inf)
-        s = _draw(logs, rng) + 1
-        own.append(rows)
-        sizes.append(s)
-        m[rows] -= s
-        rows = rows[m[rows] > 0]
-    return np.concatenate(own), np.concatenate(sizes)
+    return np.nonzero(old)[0], old[old > 0], m, log_c[: m.max() + 1], loga[np.arange(loga.shape[1]) <= m[:, None]]
+
+
+def _new_tables(laws: list, rng) -> tuple[np.ndarray, np.ndarray]:
+    """The new tables, dish and size, of all dishes: their customers, laws as by ``_at_once``."""
+    dish, m = (np.concatenate([law[i] for law in laws]) for i in (0, 1))
+    log_c, flat = max((law[2] for law in laws), key=len), np.concatenate([law[3] for law in laws])
+    begin = np.cumsum(m + 1) - (m + 1)
+    own, sizes = [], []
+    some = np.flatnonzero(m)
+    for rows in _blocks(m[some]):
+        rows = some[rows]
+        while len(rows):
+            # The table of the first of the m: s customers with weight c_(s-1) a_(m-s).
+            most = int(m[rows].max())
+            at = m[rows][:, None] - 1 - np.arange(most)
+            logs = np.where(at >= 0, log_c[:most] + flat[begin[rows][:, None] + np.maximum(at, 0)], -np.inf)
+            s = _draw(logs, rng) + 1
+            own.append(dish[rows])
+            sizes.append(s)
+            m[rows] -= s
+            rows = rows[m[rows] > 0]
+    return (np.concatenate(own), np.concatenate(sizes)) if own else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def sweep(tables: np.ndarray, sizes: np.ndarray, weight: np.ndarray, d: float, rng, change: np.ndarray | None = None, moves: int = MOVES) -> tuple[np.ndarray, np.ndarray]:
@@ -257,8 +318,13 @@ def sweep(tables: np.ndarray, sizes: np.ndarray, weight: np.ndarray, d: float, r
     owner = np.repeat(np.arange(len(tables)), tables)
     n = np.bincount(owner, sizes, len(tables)).astype(np.int64)
     change = np.zeros(len(n), np.int64) if change is None else change
-    begin = np.cumsum(tables) - tables
     after = n + change
+    many = np.flatnonzero(np.abs(change) > moves)
+    if len(many):
+        tables, sizes = _change(tables, sizes, weight, d, rng, change, many)
+        owner, n, change = np.repeat(np.arange(len(tables)), tables), n.copy(), change.copy()
+        n[many], change[many] = after[many], 0
+    begin = np.cumsum(tables) - tables
     steps = np.where((after > 1) & (after <= moves), after, 0)
     great = after > moves
     still = (change == 0) & (steps == 0) & ~great
@@ -269,12 +335,14 @@ def sweep(tables: np.ndarray, sizes: np.ndarray, weight: np.ndarray, d: float, r
     apart = apart[rng.random(len(apart)) * (weight[apart] + 1 - d) < weight[apart]]
     alone = np.setdiff1d(np.flatnonzero(two), apart, assume_unique=True)
     done += [(alone, np.full(len(alone), 2)), (np.repeat(apart, 2), np.ones(2 * len(apart), np.int64))]
-    todo = np.flatnonzero(~still & ~two)
+    ready = great & (change == 0)
+    todo = np.flatnonzero(~still & ~two & ~ready)
     # A dish can't have more tables than customers, nor open more than it takes steps.
     width = np.minimum(np.maximum(n, after), tables + steps + np.maximum(change, 0))
-    late = []
+    late = [(owner[ready[owner]], sizes[ready[owner]])]
     for rows in _blocks(width[todo]):
         rows = todo[rows]
+        rows = rows[np.argsort(-steps[rows], kind="stable")]  # those with more to come stand first
         t = tables[rows]
         at = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
         x = np.zeros((int(width[rows].max()) + 1, len(rows)))
@@ -286,15 +354,17 @@ def sweep(tables: np.ndarray, sizes: np.ndarray, weight: np.ndarray, d: float, r
             if len(go):
                 _leave(x, go, rng)
         for j in range(int(steps[rows].max())):
-            live = np.flatnonzero(steps[rows] > j)
-            _leave(x, live, rng)
-            _join(x, live, weight[rows[live]], d, rng)
+            live = np.arange(np.count_nonzero(steps[rows] > j))
+            own = x[:, : len(live)]
+            _leave(own, live, rng)
+            _join(own, live, weight[rows[live]], d, rng)
         own = great[rows]
         done.append(_flat(rows[~own], x[:, ~own]))
         if own.any():
             late.append(_flat(rows[own], x[:, own]))
     t, own = _ordered(late, len(n))
     begin, great = np.cumsum(t) - t, np.flatnonzero(great)
+    new = []
     # Dishes of about equal size together: their sums are about equally long.
     for part in _blocks(after[great]):
         # Neither tables nor terms of a dish are more than its customers, double the least here.
@@ -303,6 +373,9 @@ def sweep(tables: np.ndarray, sizes: np.ndarray, weight: np.ndarray, d: float, r
             at = np.arange(len(i)) - np.repeat(np.cumsum(t[rows]) - t[rows], t[rows])
             x = np.zeros((len(rows), int(t[rows].max())))
             x[i, at] = own[np.repeat(begin[rows], t[rows]) + at]
-            i, size = _at_once(x, weight[rows], d, rng)
+            i, size, *law = _at_once(x, weight[rows], d, rng)
             done.append((rows[i], size.astype(np.int64)))
+            new.append((rows, *law))
+    if new:
+        done.append(_new_tables(new, rng))
     return _ordered(done, len(n))
