@@ -63,9 +63,9 @@ def _come(sizes: np.ndarray, many: int, weight: float, d: float, rng) -> np.ndar
     n = int(sizes.sum())
     while many:
         old = weight + n - d * len(sizes)  # what all tables and a new one weigh
-        step, free, found = int(2 * old / weight) + 16, 0, False
+        step, free, found = int(min(2 * old / weight, CELLS)) + 16, 0, False
         while free < many and not found:
-            x = rng.random(min(step, many - free, CELLS))
+            x = rng.random(min(step, many - free))
             hit = x * (old + free + np.arange(len(x))) < weight
             found = bool(hit.any())
             free += int(hit.argmax()) if found else len(x)

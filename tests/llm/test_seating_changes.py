@@ -23,6 +23,11 @@ def test_many_come_as_one_by_one(sizes, many, weight, d):
     assert (abs(_tables(got).mean(1) - want.mean(1)) < 5 * want.std(1) * (2 / rows) ** 0.5 + 1e-9).all()
 
 
+def test_many_come_where_no_table_opens():
+    rng = np.random.default_rng(8)
+    assert seating._come(np.array([7, 2]), 100, 1e-320, 0.5, rng).sum() == 109  # 2 / weight is no double
+
+
 @pytest.mark.parametrize("sizes, many", [([30, 5, 1, 9], 20), ([30, 5, 1, 9], 40), ([3, 3, 40], 46), ([3, 3, 40], 0)])
 def test_many_go_as_one_by_one(sizes, many):
     rng, rows = np.random.default_rng(4), 3000
